@@ -148,5 +148,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
         return F.struct(s["end"].alias("at"), F.concat(acc["out"], piece, F.lit(mark)).alias("out"))
 
     rebuilt = F.aggregate(cut, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), clean, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    new = F.when(cut.isNull(), F.col("text")).otherwise(rebuilt)
-    return joined.select(*[(new if c == "text" else F.when(cut.isNull(), F.col(c)).otherwise(F.length(rebuilt).cast("long")) if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
+    out = joined.withColumn("text", F.when(cut.isNull(), F.col("text")).otherwise(rebuilt))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(cut.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)
