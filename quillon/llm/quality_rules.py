@@ -35,61 +35,60 @@ def suffix_ranks(tokens: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, list
     ends = np.searchsorted(docs, docs, side="right")
     levels, k = [rank], 1
     order = np.argsort(rank, kind="stable")
-    while n and rank[order[-1]] < n - 1:
-        at = np.arange(n) + k
-        after = np.where(at < ends, rank[np.minimum(at, n - 1)] + 1, 0)
-        tied = np.zeros(n, bool)
+    while True:
         sorted_rank = rank[order]
-        same = sorted_rank[1:] == sorted_rank[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        places = np.flatnonzero(tied)  # only suffixes that are not yet told apart are sorted again
-        if not len(places) or not after[order[places]].any():
+        same = np.r_[False, sorted_rank[1:] == sorted_rank[:-1], False]
+        places = np.flatnonzero(same[1:] | same[:-1])  # only suffixes that are not yet told apart are sorted again
+        if not len(places):
             break
         group = order[places]
-        key = rank[group] * (n + 1) + after[group]
+        at = group + k
+        after = np.where(at < ends[group], rank[np.minimum(at, n - 1)] + 1, 0)
+        key = rank[group] * (n + 1) + after
         by = np.argsort(key, kind="stable")
-        order[places] = group[by]
-        key = key[by]
-        # ranks are the places of a group's first member, so that untouched ranks stay valid
+        key, group = key[by], group[by]
+        order[places] = group
+        # the rank of a group is the place of its first member; the order of all other ranks stays as it was
+        if len(levels) == 1:
+            rank = np.empty(n, np.int64)
+            rank[order] = np.maximum.accumulate(np.where(np.r_[True, sorted_rank[1:] != sorted_rank[:-1]], np.arange(n), 0))
+        else:
+            rank = rank.copy()
         first = np.r_[True, key[1:] != key[:-1]]
-        new = rank.copy()
-        starts = places[np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))]
-        base = np.empty(n, np.int64)
-        base[order] = np.arange(n)
-        new[order[places]] = starts
-        untouched = np.flatnonzero(~tied)
-        new[order[untouched]] = untouched
-        rank = new
+        rank[group] = places[np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))]
         levels.append(rank)
         k *= 2
     return order, levels, ends
 
 
-def repeats(tokens: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each word, the length of the longest run of words that starts there and occurs elsewhere in its text."""
+def repeats(tokens: np.ndarray, docs: np.ndarray, least: int) -> np.ndarray:
+    """For each word, the length of the longest run of words that starts there and occurs elsewhere in its text.
+
+    Runs of fewer than the greatest power of two up to ``least`` count as none.
+    """
     n = len(tokens)
+    out = np.zeros(n, np.int64)
     if not n:
-        return np.zeros(0, np.int64)
+        return out
     order, levels, ends = suffix_ranks(tokens, docs)
-    # longest common prefix of neighbours in the suffix array, by descending powers of two
-    a, b = order[:-1].copy(), order[1:].copy()
-    lcp = np.zeros(n - 1, np.int64)
-    for level in range(len(levels) - 1, -1, -1):
-        rank, step = levels[level], 1 << level
-        while True:  # the highest level may fit more than once
-            inside = (a < ends[order[:-1]]) & (b < ends[order[1:]])
-            fits = inside & (rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]) & (a + step <= ends[order[:-1]]) & (b + step <= ends[order[1:]])
-            if not fits.any():
-                break
-            lcp[fits] += step
-            a[fits] += step
-            b[fits] += step
-            if level < len(levels) - 1:
-                break
-    out = np.zeros(n, np.int64)
-    out[order[1:]] = lcp
-    out[order[:-1]] = np.maximum(out[order[:-1]], lcp)
+    low = least.bit_length() - 1
+    if low >= len(levels):
+        return out
+    # neighbours in the suffix array that share the first 2**low words
+    rank = levels[low]
+    places = np.flatnonzero(rank[order[1:]] == rank[order[:-1]])
+    first, second = order[places], order[places + 1]
+    inside = np.maximum(first, second) + (1 << low) <= ends[first]
+    first, second = first[inside], second[inside]
+    lcp = np.zeros(len(first), np.int64)
+    for level in range(len(levels) - 1, -1, -1):  # the rest by descending powers of two
+        step, rank = 1 << level, levels[level]
+        a, b = first + lcp, second + lcp
+        fits = np.maximum(a, b) + step <= ends[first]
+        fits &= rank[np.minimum(a, n - 1)] == rank[np.minimum(b, n - 1)]
+        lcp[fits] += step
+    np.maximum.at(out, first, lcp)
+    np.maximum.at(out, second, lcp)
     return out
 
 
@@ -111,7 +110,7 @@ def judge(batches: Iterator[pa.RecordBatch], window: int, most_covered: float, m
         n_words = np.array([len(x) for x in split], np.int64)
         tokens, _ = coded([w for x in split for w in x])
         docs = np.repeat(np.arange(len(raw)), n_words)
-        length = repeats(tokens, docs)
+        length = repeats(tokens, docs, window)
         inside = covered(length, window)
         n_repeat = np.bincount(docs, weights=inside, minlength=len(raw)).astype(np.int64)
         longest = np.zeros(len(raw), np.int64)
