@@ -6,19 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.bpe import bpe_report
 from quillon.llm.common import load
 from quillon.llm.langid import language_id
 from quillon.llm.quality_model import quality_scores
 from quillon.llm.quality_rules import quality_rules
 from quillon.llm.secrets import secret_report
 from quillon.llm.sharding import feistel_shards
+from quillon.llm.simhash import simhash_report
 from quillon.llm.url_filter import url_verdicts
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_report(load(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(load(spark, sf_dir, "pages"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_report(load(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(load(spark, sf_dir, "documents"))
 
@@ -41,7 +51,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_url_filter, op4_quality_rules, op5_language_id, op8_quality_classifier, op9_secret_scan, op10_sharding)
+    for f in (op1_bpe, op2_url_filter, op3_simhash, op4_quality_rules, op5_language_id, op8_quality_classifier, op9_secret_scan, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {}
