@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.bpe import bpe_report
 from quillon.llm.common import load
+from quillon.llm.decontaminate import leaks
 from quillon.llm.langid import language_id
 from quillon.llm.quality_model import quality_scores
 from quillon.llm.quality_rules import quality_rules
@@ -37,6 +38,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(load(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -51,7 +56,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_url_filter, op3_simhash, op4_quality_rules, op5_language_id, op8_quality_classifier, op9_secret_scan, op10_sharding)
+    for f in (op1_bpe, op2_url_filter, op3_simhash, op4_quality_rules, op5_language_id, op7_decontamination, op8_quality_classifier, op9_secret_scan, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {}
