@@ -15,6 +15,7 @@ from quillon.llm.quality_rules import quality_rules
 from quillon.llm.secrets import secret_report
 from quillon.llm.sharding import feistel_shards
 from quillon.llm.simhash import simhash_report
+from quillon.llm.suffix_dedup import repeats_report
 from quillon.llm.url_filter import url_verdicts
 
 
@@ -38,6 +39,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(load(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_report(load(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
 
@@ -56,7 +61,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_bpe, op2_url_filter, op3_simhash, op4_quality_rules, op5_language_id, op7_decontamination, op8_quality_classifier, op9_secret_scan, op10_sharding)
+    for f in (op1_bpe, op2_url_filter, op3_simhash, op4_quality_rules, op5_language_id, op6_suffix_dedup, op7_decontamination, op8_quality_classifier, op9_secret_scan, op10_sharding)
 }
 
 ORACLE_SQL: dict[str, str] = {}
