@@ -5,7 +5,7 @@ or a run of white space: places where the tokenizer's own pattern always splits)
 to buckets by hash; a bucket holds the distinct-word table of its words and encodes each once with the
 tokenizers library; the ids go back to the blocks, where they are joined to the words by position. A frequent
 word is one entry per block, so no key is hot, and what is shuffled is a compressed copy of the texts and of the
-words. A word that has no entry (a block that was rebuilt with other rows) is encoded in place.
+words. A block without its words' ids (it was rebuilt with other rows) encodes them itself.
 
 Decoding: ids are looked up in the table of pieces (as long as the vocabulary) and the bytes joined.
 
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 
 from quillon.llm.textbatch import slices
 
-BLOCK_BYTES = 16 << 20
-TABLE_ROWS = 1 << 20  # distinct words a task keeps at once
+BLOCK_BYTES = 8 << 20
+TABLE_ROWS = 1 << 18  # distinct words a task keeps at once
 SPACE = "\\t-\\r \\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"  # white space of any of the engines
 UNSAFE = re.compile(f"[{SPACE}] (?=[{SPACE}]|$)|^ (?=[{SPACE}])|^ $")
 
@@ -105,22 +105,27 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 def _packed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for block, piece in _blocks(batches):
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        with pa.ipc.new_stream(sink, piece.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
             w.write_batch(piece)
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
 
 
+def dealt_words(texts: list[str | None], buckets: int, pattern: re.Pattern | None) -> dict[int, list[bytes]]:
+    """The distinct words of the texts by bucket, sorted: a block sends them and later finds their ids in this order."""
+    distinct: set[str] = set()
+    for text in texts:
+        distinct.update(words(text or "", pattern))
+    dealt: dict[int, list[bytes]] = {}
+    for w in sorted(distinct):
+        raw = w.encode()
+        dealt.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
+    return dealt
+
+
 def _block_words(batches: Iterator[pa.RecordBatch], buckets: int, special: list[str]) -> Iterator[pa.RecordBatch]:
     pattern = special_pattern(special)
     for block, piece in _blocks(batches):
-        distinct: set[str] = set()
-        for text in piece.column("text").to_pylist():
-            distinct.update(words(text or "", pattern))
-        dealt: dict[int, list[bytes]] = {}
-        for w in sorted(distinct):
-            raw = w.encode()
-            dealt.setdefault(zlib.crc32(raw) % buckets, []).append(raw)
-        if dealt:
+        if dealt := dealt_words(piece.column("text").to_pylist(), buckets, pattern):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block] * len(dealt), pa.int64()), pa.array(list(dealt), pa.int32()), pa.array([packed(x) for x in dealt.values()], pa.binary())],
                 names=["block", "bucket", "words"],
@@ -144,23 +149,25 @@ def _encoded_words(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.
                 table, new = {}, own
             table.update(zip(new, encoded(tokenizer, [w.decode() for w in new]), strict=True))
             ids.append(packed([table[w] for w in own]))
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("words"), pa.array(ids, pa.binary())], names=["block", "words", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("bucket"), pa.array(ids, pa.binary())], names=["block", "bucket", "ids"])
 
 
-def _joined(blocks: pa.Table, table: pa.Table, path: str, special: list[str]) -> pa.Table:
-    """doc_id and ids of a block's texts, from the block's words."""
-    known: dict[str, bytes] = {}
-    for w, i in zip(table.column("words").to_pylist(), table.column("ids").to_pylist(), strict=True):
-        known.update(zip([x.decode() for x in unpacked(w)], unpacked(i), strict=True))
+def _joined(blocks: pa.Table, table: pa.Table, path: str, special: list[str], buckets: int) -> pa.Table:
+    """doc_id and ids of a block's texts, from the ids of the block's words."""
     pattern, doc_ids, flat, size = special_pattern(special), [], [], [0]
+    sent = dict(zip(table.column("bucket").to_pylist(), table.column("ids").to_pylist(), strict=True))
     for blob in blocks.column("docs").to_pylist():
         with pa.ipc.open_stream(blob) as r:
             docs = r.read_all()
-        for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            own = words(text or "", pattern)
-            if missing := list({w for w in own if w not in known}):
-                known.update(zip(missing, encoded(load_tokenizer(path), missing), strict=True))
-            raw = b"".join([known[w] for w in own])
+        texts = docs.column("text").to_pylist()
+        known: dict[str, bytes] = {}
+        for bucket, own in dealt_words(texts, buckets, pattern).items():
+            ids = unpacked(sent[bucket]) if bucket in sent else []
+            if len(ids) != len(own):  # not the words that this block sent
+                ids = encoded(load_tokenizer(path), [w.decode() for w in own])
+            known.update(zip([w.decode() for w in own], ids, strict=True))
+        for doc_id, text in zip(docs.column("doc_id").to_pylist(), texts, strict=True):
+            raw = b"".join([known[w] for w in words(text or "", pattern)])
             doc_ids.append(doc_id)
             flat.append(raw)
             size.append(len(raw) // 4)
@@ -176,9 +183,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     split = rows.mapInArrow(lambda it: _block_words(it, buckets, special), "block long, bucket int, words binary")
-    table = split.repartition(buckets, "bucket").mapInArrow(lambda it: _encoded_words(it, path), "block long, words binary, ids binary")
+    table = split.repartition(buckets, "bucket").mapInArrow(lambda it: _encoded_words(it, path), "block long, bucket int, ids binary")
     blocks = rows.mapInArrow(_packed_blocks, "block long, docs binary")
-    return blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(lambda left, right: _joined(left, right, path, special), "doc_id long, ids array<int>")
+    return blocks.groupBy("block").cogroup(table.groupBy("block")).applyInArrow(lambda left, right: _joined(left, right, path, special, buckets), "doc_id long, ids array<int>")
 
 
 def pieces(path: str) -> pa.Array:
