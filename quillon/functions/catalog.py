@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from quillon.functions.text import stripped
 
@@ -40,7 +41,7 @@ VARIANTS = (("-0.txt", 400), (".txt.utf-8", 350), ("-utf8.txt", 350), ("-8.txt",
 URL_PATTERNS = ("pg{0}.txt", "pg{0}-0.txt", "pg{0}.txt.utf-8", "pg{0}-utf8.txt", "pg{0}-8.txt")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def folded_ascii(s: pd.Series) -> pd.Series:
     """Compatibility decomposition without anything that is not ASCII; null is empty."""
     return s.map(lambda x: unicodedata.normalize("NFKD", x or "").encode("ascii", "ignore").decode("ascii"))
