@@ -209,7 +209,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -
     texts = docs.where(F.octet_length(text_col) >= length).select(F.col(text_col).alias("text"))
     found = staged(texts.mapInArrow(lambda it: _anchor_rows(it, length), "key binary, h long, place long"), "anchors")
     at = F.struct("key", "place")
-    often = found.groupBy("h").agg(F.min(at).alias("a"), F.max(at).alias("b")).where(F.col("a") != F.col("b")).select("h")
+    # written, so that the join is a plain one whose skewed partitions (a frequent passage) Spark splits
+    often = staged(found.groupBy("h").agg(F.min(at).alias("a"), F.max(at).alias("b")).where(F.col("a") != F.col("b")).select("h"), "repeated-anchors")
     places = found.join(often, "h").groupBy("key").agg(F.collect_set("place").alias("places"))
     distinct = texts.select(F.unhex(F.sha2("text", 256)).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
     holders = staged(distinct.join(places, "key"), "anchored-texts")
@@ -217,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -
     rows = holders.mapInArrow(lambda it: _context_rows(it, length), "key binary, h long, first long, starts long, context binary")
     rows = staged(rows, "contexts")
     kinds = staged(rows.groupBy("context", "h").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("at")), "context-kinds")
-    several = kinds.groupBy("h").agg(F.min("context").alias("a"), F.max("context").alias("b")).where(F.col("a") != F.col("b")).select("h")
+    several = staged(kinds.groupBy("h").agg(F.min("context").alias("a"), F.max("context").alias("b")).where(F.col("a") != F.col("b")).select("h"), "anchors-of-several")
     wanted = kinds.join(several, "h", "left_semi").select(F.col("at.key").alias("key"), F.col("at.first").alias("first")).groupBy("key").agg(F.collect_set("first").alias("firsts"))
     shipped = holders.join(wanted, "key").select("text", "places", "firsts").mapInArrow(lambda it: _context_bytes(it, length), "h long, anchor long, starts long, bytes binary")
     ranges = shipped.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _merged_rows(it, length), "context binary, ranges array<struct<a:long,b:long>>")
