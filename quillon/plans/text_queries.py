@@ -38,10 +38,10 @@ def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deduplicated chunks with split, position and count."""
-    rows = C.positioned(dedup(spark, sf_dir))
+    """Deduplicated chunks with split, position and count; kept (and spilt to disk), as pairs read them several times."""
+    rows = C.positioned(dedup(spark, sf_dir)).persist()
     books = C.split_books(rows.where("pos = 0").select("book_id"))
-    return rows.join(books, "book_id")
+    return rows.join(books, "book_id").persist()
 
 
 @query(f"WITH {Q.BOOKS}, {Q.SENTENCES} SELECT doc_id, len(s)::int AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM sents")
