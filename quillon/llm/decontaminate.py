@@ -1,6 +1,7 @@
 """Benchmark decontamination by the q-gram lemma with diagonal bands and banded alignment.
 
-Texts and benchmark items are folded (lower case, runs of anything but letters and digits become one space). An
+Texts and benchmark items are folded (lower case, runs of anything but letters and digits become one space; code
+points beyond the basic plane count as letters). An
 item of m characters within k edits of a stretch of text shares at least m + 1 - q - k * q of its q-grams with it,
 on diagonals that lie within k of each other. Shared q-grams are counted in overlapping bands of diagonals, bands
 below the bound are discarded, and what remains is verified by an alignment inside the band. Long items are
@@ -15,7 +16,6 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 from typing import NamedTuple
@@ -33,12 +33,28 @@ FILTER_BITS = 22
 PRIME = np.uint64(0x100000001B3)
 
 
-def folded(text: str | None) -> str:
-    return re.sub(r"[\W_]+", " ", (text or "").lower()).strip()
+def fold_table() -> np.ndarray:
+    """What each code point of the basic plane folds to: its lower case, or a space."""
+    return np.array([ord(c.lower()[0]) if c.isalnum() else 32 for c in map(chr, range(1 << 16))], np.uint32)
+
+
+def folded(text: str | None, table: np.ndarray) -> np.ndarray:
+    """The folded text as code points, without space at the ends."""
+    code = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32)
+    if len(code) and code.max() >> 16:
+        code = np.where(code >> 16, code, table[code & 0xFFFF])
+    else:
+        code = table[code]
+    space = code == 32
+    keep = ~space
+    keep[1:] |= ~space[:-1]  # the first space of a run
+    code = code[keep]
+    a, b = int(len(code) > 0 and code[0] == 32), len(code)
+    return code[a : b - int(b > a and code[-1] == 32)]
 
 
 def codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
 
 
 def grams(code: np.ndarray) -> np.ndarray:
@@ -64,17 +80,20 @@ class Part(NamedTuple):
 
 
 class Index(NamedTuple):
+    fold: np.ndarray
     parts: list[Part]
     seen: np.ndarray  # filter on the leading bits of a q-gram's hash
     grams: np.ndarray  # sorted distinct hashes
     first: np.ndarray  # where each one's entries begin
     part: np.ndarray
     place: np.ndarray
+    width: np.ndarray  # of each part's bands
+    bound: np.ndarray
 
 
-def parts_of(item: int | None, text: str | None) -> list[Part]:
+def parts_of(item: int | None, text: str | None, table: np.ndarray) -> list[Part]:
     """The item, or overlapping parts of it if it is long, with edit budget and q-gram bound."""
-    code = codes(folded(text))
+    code = folded(text, table)
     m = len(code)
     starts = [0] if m <= PART else [*range(0, m - PART, PART // 2), m - PART]
     out = []
@@ -86,7 +105,8 @@ def parts_of(item: int | None, text: str | None) -> list[Part]:
 
 
 def index_of(items: list[tuple[int | None, str | None]]) -> Index:
-    parts = [p for item, text in items for p in parts_of(item, text)]
+    table = fold_table()
+    parts = [p for item, text in items for p in parts_of(item, text, table)]
     h = np.concatenate([grams(p.code) for p in parts] or [np.zeros(0, np.uint64)])
     part = np.repeat(np.arange(len(parts)), [len(p.code) - Q + 1 for p in parts])
     place = np.concatenate([np.arange(len(p.code) - Q + 1) for p in parts] or [np.zeros(0, np.int64)])
@@ -94,11 +114,14 @@ def index_of(items: list[tuple[int | None, str | None]]) -> Index:
     distinct, first = np.unique(h[by], return_index=True)
     seen = np.zeros(1 << FILTER_BITS, bool)
     seen[h >> np.uint64(64 - FILTER_BITS)] = True
-    return Index(parts, seen, distinct, np.r_[first, len(h)], part[by], place[by])
+    return Index(table, parts, seen, distinct, np.r_[first, len(h)], part[by], place[by], np.array([p.edits + 1 for p in parts]), np.array([p.bound for p in parts]))
 
 
-def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> int:
-    """Least edits that turn ``pattern`` into a stretch of ``text``, on diagonals (place in text less place in pattern) low to high."""
+def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int | None = None) -> int:
+    """Least edits that turn ``pattern`` into a stretch of ``text``, on diagonals (place in text less place in pattern) low to high.
+
+    Beyond ``most`` edits any greater number may be given.
+    """
     width = high - low + 1
     steps = np.arange(width)
     far = len(pattern) + len(text) + 1
@@ -113,12 +136,14 @@ def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int) -> int:
         new = np.minimum.accumulate(new - steps) + steps  # characters of the text are left out
         end = low + steps + i + 1
         row = np.where((end >= 0) & (end <= len(text)), new, far)
+        if most is not None and i % 8 == 7 and row.min() > most:
+            break
     return int(row.min())
 
 
 def matches(text: str | None, index: Index) -> dict[int | None, tuple[int, int]]:
     """For each item found in the text, the least edits of a part and how many characters it has."""
-    code = codes(folded(text))
+    code = folded(text, index.fold)
     h = grams(code)
     at = np.flatnonzero(index.seen[h >> np.uint64(64 - FILTER_BITS)])
     if not len(at) or not len(index.grams):
@@ -126,24 +151,30 @@ def matches(text: str | None, index: Index) -> dict[int | None, tuple[int, int]]
     found = np.minimum(np.searchsorted(index.grams, h[at]), len(index.grams) - 1)
     real = index.grams[found] == h[at]
     at, found = at[real], found[real]
+    if not len(at):
+        return {}
     n = index.first[found + 1] - index.first[found]
     entry = np.repeat(index.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    part, diagonal = index.part[entry], np.repeat(at, n) - index.place[entry]
-    width = np.array([p.edits + 1 for p in index.parts])
-    bound = np.array([p.bound for p in index.parts])
-    band = diagonal // width[part]
-    # bands are two widths long and overlap by one, so diagonals within the budget meet in one of them
-    part, band = np.r_[part, part], np.r_[band, band - 1]
-    key, count = np.unique(part * (1 << 40) + (band + (1 << 32)), return_counts=True)
-    part, band = key >> 40, (key & ((1 << 40) - 1)) - (1 << 32)
-    good = count >= bound[part]
+    part, place = index.part[entry], index.place[entry]
+    band = (np.repeat(at, n) - place) // index.width[part]
+    # bands are two widths long and overlap by one, so diagonals within the budget meet in one of them; a q-gram of
+    # the part counts once in a band
+    part, band, place = np.r_[part, part], np.r_[band, band - 1], np.r_[place, place]
+    by = np.lexsort((place, band, part))
+    part, band, place = part[by], band[by], place[by]
+    first = np.r_[True, (part[1:] != part[:-1]) | (band[1:] != band[:-1])]
+    fresh = first | np.r_[True, place[1:] != place[:-1]]
+    start = np.flatnonzero(first)
+    count = np.add.reduceat(fresh.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+    part, band = part[start], band[start]
+    good = count >= index.bound[part]
     out: dict[int | None, tuple[int, int]] = {}
     for p, b in zip(part[good].tolist(), band[good].tolist(), strict=True):
         item, own, most, _ = index.parts[p]
         low, high = b * (most + 1) - most, (b + 2) * (most + 1) - 1 + most
         from_ = max(0, low)
         region = code[from_ : max(from_, high + len(own) + most + 1)]
-        edits = 0 if own.tobytes() in region.tobytes() and contains(region, own) else banded(own, region, low - from_, high - from_)
+        edits = 0 if own.tobytes() in region.tobytes() and contains(region, own) else banded(own, region, low - from_, high - from_, most)
         if edits <= most and (item not in out or edits < out[item][0]):
             out[item] = (edits, len(own))
     return out
