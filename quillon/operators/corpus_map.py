@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
@@ -56,10 +56,15 @@ def without_top_components(items: DataFrame, k: int) -> DataFrame:
         return items.select("id", V.doubles(F.col("vec")).alias("vec"))
     rows = centred(items)
     directions = [F.array(*[F.lit(float(x)) for x in column]) for column in components(rows, k).T]
+    shares = [f"_share{i}" for i in range(len(directions))]
+    rows = rows.withColumns({c: V.dot(F.col("vec"), d) for c, d in zip(shares, directions, strict=True)})
+
+    def less(left: Column, share: Column, direction: Column) -> Column:
+        return F.zip_with(left, direction, lambda a, x: a - share * x)
+
     left = F.col("vec")
-    for d in directions:
-        share = V.dot(F.col("vec"), d)
-        left = F.zip_with(left, F.transform(d, lambda x, share=share: x * share), lambda a, b: a - b)
+    for c, d in zip(shares, directions, strict=True):
+        left = less(left, F.col(c), d)
     return rows.select("id", left.alias("vec"))
 
 

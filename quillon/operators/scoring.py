@@ -76,7 +76,7 @@ def text_similarity(pairs: DataFrame, embedder: Embedder | None = None, method:
     """pair_id, sim, n, score of text pairs: chunks of both sides, embedded, compared by pairs of chunks."""
     embedder = embedder or HashedEmbedder()
     sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("text1").alias("text")), F.struct(F.lit(2).alias("side"), F.col("text2").alias("text")))).alias("s"))
-    sides = sides.select("pair_id", "s.side", T.collapsed(F.col("s.text")).alias("text")).where(F.col("text") != "")
+    sides = sides.select("pair_id", "s.side", T.stripped(T.collapsed(F.col("s.text"))).alias("text")).where(F.col("text") != "")
     sides = sides.withColumn("_n", T.chunk_estimate(F.col("text"), size=size)).withColumn("_items", T.sentences(F.col("text")))
     cut = F.slice(T.chunks(F.col("_items"), size, overlap, min_chars, english=False, fallback="any"), 1, F.col("_n"))
     whole = F.array(F.struct(F.lit(0).alias("idx"), F.col("text").alias("chunk")))

@@ -44,9 +44,9 @@ def reference_json(percentiles: DataFrame) -> DataFrame:
     stats = [c for c in percentiles.columns if c not in ("domain", "label", "n")]
     kind = F.when(F.col("label") == 1, "positive").otherwise("negative")
     rows = percentiles.select(F.col("domain"), kind.alias("kind"), F.create_map(*[x for c in stats for x in (F.lit(c), F.col(c))]).alias("stats"))
-    per = rows.groupBy("domain").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "stats")))).alias("classes"))
+    per = rows.groupBy("domain").agg(F.map_from_entries(F.collect_list(F.struct("kind", "stats"))).alias("classes"))
     whole = F.first(F.when(F.col("domain").isNull(), F.col("classes")), ignorenulls=True)
-    by = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("domain").isNotNull(), F.struct("domain", "classes")))))
+    by = F.map_from_entries(F.collect_list(F.when(F.col("domain").isNotNull(), F.struct("domain", "classes"))))
     return per.agg(F.to_json(F.struct(whole.alias("global"), by.alias("by_domain"))).alias("value"))
 
 
