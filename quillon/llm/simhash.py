@@ -214,7 +214,7 @@ def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = 44, width: int =
     """The rows of ``docs`` that name their component: one document of each group of near copies.
 
     44 of 256 bits is where five-word shingles with a similarity (shared by all) of 0.8 still link nearly always.
-    Rows without an id stay.
+    Rows without an id stay, and so do rows that repeat the id that is kept.
     """
     found = near_duplicates(docs, shingle, bits, width)
     dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
