@@ -50,3 +50,15 @@ def finite(c: Column) -> Column:
 def probability(logit0: Column, logit1: Column, temperature: float = 1.0) -> Column:
     """Softmax probability of class 1."""
     return 1 / (1 + F.exp((logit0 - logit1) / max(temperature, 1e-6)))
+
+
+def masked_mean(rows: Column, mask: Column) -> Column:
+    """Mean of the vectors (array of arrays) whose mask is not 0; null if there is none."""
+    kept = F.transform(F.filter(F.arrays_zip(rows.alias("v"), mask.alias("m")), lambda x: x["m"] != 0), lambda x: x["v"])
+    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.try_element_at(kept, F.lit(1)), lambda a, v: F.zip_with(a, v, lambda x, y: x + y))
+    return F.transform(total, lambda x: x / F.size(kept))
+
+
+def moving_average(values: Column, keep: float = 0.9) -> Column:
+    """Exponential moving average of an array, from its first value; null if it is empty."""
+    return F.aggregate(values, F.lit(None).cast("double"), lambda a, x: F.when(a.isNull(), x).otherwise(a * keep + x * (1 - keep)))

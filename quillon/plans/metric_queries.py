@@ -124,20 +124,20 @@ def apply_logistic(spark, sf_dir):
     return rounded(scored(spark, sf_dir).select("id", K.apply_logistic(F.col("score"), 3.0, -1.0).alias("p")))
 
 
-KNOTS, VALUES = [0.3, 0.5, 0.5, 0.7], [0.1, 0.4, 0.6, 0.9]
+KNOTS, VALUES = [0.3, 0.5, 0.5, 0.7], [0.1, 0.3, 0.5, 0.9]
 
 
-@query(f"""WITH {Q.SCORED} SELECT id, round(CASE WHEN score < 0.3::double THEN 0.1::double WHEN score >= 0.7::double THEN 0.9::double WHEN score < 0.5::double THEN 0.1::double + 0.3::double * ((score - 0.3::double) / 0.2::double) ELSE 0.6::double + 0.3::double * ((score - 0.5::double) / 0.2::double) END, 6) AS p FROM scored""")
+@query(f"""WITH {Q.SCORED} SELECT id, round(CASE WHEN score < 0.3::double THEN 0.1::double WHEN score >= 0.7::double THEN 0.9::double WHEN score < 0.5::double THEN 0.1::double + 0.2::double * ((score - 0.3::double) / 0.2::double) ELSE 0.5::double + 0.4::double * ((score - 0.5::double) / 0.2::double) END, 6) AS p FROM scored""")
 def apply_isotonic(spark, sf_dir):
     return rounded(scored(spark, sf_dir).select("id", K.apply_isotonic(F.col("score"), KNOTS, VALUES).alias("p")))
 
 
-PCTS = ", ".join(f"round(quantile_cont(score, {q}::double), 6) AS p{round(100 * q)}" for q in M.LEVELS)
+PCTS = ", ".join(f"round(quantile_cont(score, {q}::double), 8) AS p{round(100 * q)}" for q in M.LEVELS)
 
 
-@query(f"WITH {Q.SCORED} SELECT domain, label, count(*) AS n, round(avg(score), 6) AS mean, round(quantile_cont(score, 0.5::double), 6) AS median, {PCTS} FROM scored GROUP BY GROUPING SETS ((label), (domain, label))")
+@query(f"WITH {Q.SCORED} SELECT domain, label, count(*) AS n, round(avg(score), 8) AS mean, round(quantile_cont(score, 0.5::double), 8) AS median, {PCTS} FROM scored GROUP BY GROUPING SETS ((label), (domain, label))")
 def percentiles_by_group(spark, sf_dir):
-    return rounded(M.percentile_table(scored(spark, sf_dir)))
+    return rounded(M.percentile_table(scored(spark, sf_dir)), digits=8)
 
 
 @query(f"WITH {Q.SCORED}, r AS (SELECT CASE WHEN label = 0 THEN NULL ELSE score * 2 - 1 END AS cosine, score AS score_0_1 FROM scored) SELECT count(*) AS n, round(avg(cosine), 6) AS cosine_mean, round(quantile_cont(cosine, 0.5::double), 6) AS cosine_median, round(avg(score_0_1), 6) AS score_0_1_mean, round(quantile_cont(score_0_1, 0.5::double), 6) AS score_0_1_median FROM r")

@@ -139,9 +139,9 @@ def style_similarity_topk(spark, sf_dir):
     return N.style_similarity(sides(spark, sf_dir), "topk_mean", 5).withColumn("sim", F.round("sim", 5))
 
 
-@query(KNN + " SELECT id, round(avg(1 - score), 5) AS score FROM knn WHERE rank <= 10 GROUP BY id")
+@query(KNN + " SELECT id, round(sum(1 - score), 6) AS score_of_ten FROM knn WHERE rank <= 10 GROUP BY id")
 def knn_outlier(spark, sf_dir):
-    return N.outlier_scores(vectors(spark, sf_dir)).withColumn("score", F.round("score", 5))
+    return N.outlier_scores(vectors(spark, sf_dir)).select("id", F.round(10 * F.col("score"), 6).alias("score_of_ten"))
 
 
 @query(KNN + ", s AS (SELECT id, avg(1 - score) AS score FROM knn WHERE rank <= 10 GROUP BY id) SELECT id FROM s WHERE score <= (SELECT quantile_cont(score, 0.95::double) FROM s)")

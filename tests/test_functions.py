@@ -123,3 +123,10 @@ def test_cleaning(spark):
     assert got == {1: "body\n\nmore\n", 2: "body\n", 3: "a\n\nb\n", 4: "plain é\ntext\n", 5: None, 6: "\n"}
     again = cleaning.cleaned(spark.createDataFrame(list(got.items()), "doc_id int, text string"))
     assert {r.doc_id: r.text for r in again.collect()} == got
+
+
+def test_pooling_and_averages(spark):
+    rows = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(9.0), F.lit(9.0)), F.array(F.lit(3.0), F.lit(4.0)))
+    assert one(spark, V.masked_mean(rows, F.array(F.lit(1), F.lit(0), F.lit(1))), a=1) == [2.0, 3.0]
+    assert one(spark, V.masked_mean(rows, F.array(F.lit(0), F.lit(0), F.lit(0))), a=1) is None
+    assert one(spark, V.moving_average(F.col("v")), v=[1.0, 2.0]) == pytest.approx(1.1)

@@ -212,3 +212,16 @@ def test_similarity_and_benchmark(spark):
     excerpts = spark.createDataFrame([(1, text), (2, text)], "excerpt_id long, text string")
     rows, total = scoring.benchmark(excerpts, scoring.LookupGenerator(answers), ["sea", "war"])
     assert rows.count() == 6 and total.first().n == 6
+
+
+def test_fetch(spark):
+    from quillon.sources.fetch import fetched
+
+    def get(url):
+        if "down" in url:
+            raise OSError
+        return (200, "<html>" if "page" in url else f"text of {url}") if "gone" not in url else (404, "")
+
+    rows = [(1, 0, "gone"), (1, 1, "good"), (2, 0, "down"), (2, 1, "page"), (3, 0, "a"), (3, 1, "b")]
+    got = {r.id: (r.url, r.text, r.tries) for r in fetched(spark.createDataFrame(rows, "id long, at int, url string"), get, wait=0.0).collect()}
+    assert got == {1: ("good", "text of good", 2), 2: (None, None, 4), 3: ("a", "text of a", 1)}

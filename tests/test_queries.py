@@ -14,7 +14,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return "nan" if math.isnan(v) else round(v, 8) + 0.0
     return v
 
 
