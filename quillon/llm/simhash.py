@@ -32,7 +32,7 @@ from quillon.llm.textbatch import as_bytes, slices
 
 SEED, PIVOTS, SALTS = 42, 24, 8
 MASK = (1 << 64) - 1
-RECALL, EASE = 0.95, 0.8  # tables are counted for a pair at EASE of the greatest distance
+RECALL = 0.95  # of pairs at the greatest distance, by which tables are counted
 BUCKET = 64  # fingerprints a bucket should hold on average, at most
 AT_ONCE = 1 << 15
 
@@ -105,7 +105,7 @@ def sampled_masks(bits: int, width: int, n: int) -> list[tuple[int, ...]]:
     with more).
     """
     size = max(14, math.ceil(math.log2(max(n, 2))) + 2)
-    meet = (1 - bits * EASE / (64 * width)) ** size
+    meet = math.comb(64 * width - bits, size) / math.comb(64 * width, size)  # bits of a mask differ from one another
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - meet))
     rng = random.Random(SEED)
     out = []

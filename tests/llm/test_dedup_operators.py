@@ -66,6 +66,17 @@ def test_every_mask_set_is_exact():
             assert any(not flips & m for m in found)
 
 
+@pytest.mark.parametrize("n", [10, 10**4, 8 * 10**4, 5 * 10**6])
+def test_sampled_masks_reach_the_full_distance(n):
+    rng = random.Random(7)
+    found = [sum(m << 64 * w for w, m in enumerate(mask)) for mask in simhash.sampled_masks(44, 4, n)]
+    met = 0
+    for _ in range(1000):
+        flips = sum(1 << b for b in rng.sample(range(256), 44))
+        met += any(not flips & m for m in found)
+    assert met / 1000 >= simhash.RECALL - 0.025
+
+
 def test_pivots_lose_no_link():
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
