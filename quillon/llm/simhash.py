@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import staged
 from quillon.llm.graph import components
+from quillon.llm.near_copies import near_copies
 from quillon.llm.textbatch import as_bytes, slices
 
 SEED, PIVOTS, SALTS = 42, 24, 8
@@ -202,21 +203,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, width: int
     cols = columns(width)
     rows = staged(fingerprints(docs, shingle, width, id_col, text_col).withColumn("node", F.col("fp") if width == 1 else F.xxhash64(*cols)), "fingerprints")
     classes = staged(rows.groupBy("node", *cols).agg(F.min("doc_id").alias("least")), "fingerprint-classes")
-    roots = components(links(classes, bits, width, classes.count())).withColumnRenamed("node", "_node")
+    roots = components(links(classes, bits, width, classes.count()))
+    return named(rows, classes, roots).select("doc_id", *cols, "component_id")
+
+
+def named(rows: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, node, ...) with component_id, the least id of the classes (node, least) that have the node's root."""
+    roots = roots.withColumnRenamed("node", "_node")
     rooted = classes.join(roots, classes.node == roots._node, "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(named, "root").select("node", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    least = rooted.join(least, "root").select("node", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(named, ["node", "_salt"]).select("doc_id", *cols, "component_id")
+    return salted.join(least, ["node", "_salt"])
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, bits: int = 44, width: int = 4) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that name their component: one document of each group of near copies.
 
-    44 of 256 bits is where five-word shingles with a similarity (shared by all) of 0.8 still link nearly always.
-    Rows without an id stay, and so do rows that repeat the id that is kept.
+    Links are the pairs whose sets of shingles have the similarity (shared by all) or more, found and decided
+    exactly. Rows without an id stay, and so do rows that repeat the id that is kept.
     """
-    found = near_duplicates(docs, shingle, bits, width)
+    rows, roots = near_copies(docs, shingle, similarity)
+    classes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "set-classes")
+    found = named(rows, classes, roots)
     dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 

@@ -102,6 +102,55 @@ def test_one_of_each(spark):
     assert kept == set(range(30))
 
 
+def shingles_of(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def test_one_of_each_against_brute_force(spark):
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in (6, 12, 40, 150, 400)]
+    pairs = []
+    for _ in range(260):
+        w = rng.choice(base).split()
+        for _ in range(rng.randint(0, 1 + len(w) // 25)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 1)] = [f"x{rng.randrange(99999)}"] * rng.randint(0, 2)
+        pairs.append((len(pairs), " ".join(w)))
+    pairs += [(300, None), (301, ""), (302, "ONE two"), (303, "one  TWO"), (304, base[4] + " " + base[3])]
+    sets = [shingles_of(t) for _, t in pairs]
+    root = list(range(len(pairs)))
+    likeness = {}
+    for j in range(len(pairs)):
+        for i in range(j):
+            likeness[i, j] = len(sets[i] & sets[j]) / len(sets[i] | sets[j]) if sets[i] | sets[j] else 1.0
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [root[i] if r == root[j] else r for r in root]
+    assert sum(0.7 <= x < 0.8 for x in likeness.values()) > 100 and sum(0.8 <= x < 0.85 for x in likeness.values()) > 100
+    expected = {min(i for (i, _), r in zip(pairs, root, strict=True) if r == own) for own in set(root)}
+    kept = {r.doc_id for r in simhash.one_of_each(frame(spark, pairs)).collect()}
+    assert kept == expected and 10 < len(kept) < len(pairs) - 10
+    assert simhash.one_of_each(frame(spark, pairs).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 5, 8, 20, 100, 1000])
+def test_near_copies_share_a_gram(n):
+    from fractions import Fraction
+
+    from quillon.llm import near_copies
+
+    rng = np.random.default_rng(9)
+    least = Fraction(4, 5)
+    for _ in range(100):
+        x = rng.integers(0, n // 5 + 1)  # only in the first; the second may have y of its own
+        y = int((n - x) / least) - n
+        values = rng.integers(-(1 << 63), 1 << 63, n + y)
+        a, b = np.sort(values[:n]), np.sort(values[x:])
+        assert (1 + least) * (n - x) >= least * (len(a) + len(b))
+        one, two = near_copies.signatures(np.r_[a, b], np.array([0, n, n + len(b)]), least)
+        assert set(one.tolist()) & set(two.tolist())
+
+
 def repeats_by_hand(pairs, length):
     raws = [(i, (t or "").encode()) for i, t in pairs]
     seen = Counter(b[k : k + length] for _, b in raws for k in range(len(b) - length + 1))
