@@ -130,10 +130,11 @@ def judge(batches: Iterator[pa.RecordBatch], window: int, most_covered: float, m
         )
 
 
-def quality_rules(docs: DataFrame, window: int = 8, most_covered: float = 0.3, most_longest: float = 0.2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_rules(docs: DataFrame, window: int = 8, most_covered: float = 0.12, most_longest: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and verdicts per document.
 
     A document is kept if the base rules pass, maximal repeats of ``window`` or more words cover at most
     ``most_covered`` of its words, and no repeat of 50 or more words is longer than ``most_longest`` of its words.
+    Both limits are stricter than the base rule, which allows repeats over 0.3 of the words.
     """
     return docs.select(docs[id_col], docs[text_col]).mapInArrow(lambda it: judge(it, window, most_covered, most_longest), SCHEMA)

@@ -65,6 +65,19 @@ def test_quality_rules(spark):
     assert quality_rules.quality_rules(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_quality_rules_reject_more_than_the_base(spark):
+    rng = random.Random(11)
+    w = [f"w{i}" for i in range(1000)]
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    pasted = w[:400] + fresh(100) + w[:100] + w[400:800]  # a passage of 100 words twice
+    block = [x for _ in range(3) for x in w[:60] + fresh(290)]  # 60 words three times
+    small = [x for i in range(8) for x in [*w[i * 10 : i * 10 + 8], *fresh(42), *w[i * 10 : i * 10 + 8], *fresh(42)]]  # 16 of 100 words
+    slight = w[:400] + fresh(100) + w[:40] + w[400:860]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(spark.createDataFrame(rows([" ".join(t) for t in (pasted, block, small, slight)]), DOCS)).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [got[i].kept for i in range(4)] == [False, False, False, True]
+
+
 def test_language_id(spark):
     rng = random.Random(3)
     vocab = {"en": ["the", "thing", "and", "with"], "fr": ["le", "été", "que", "aux"], "de": ["und", "über", "nicht", "schön"]}
