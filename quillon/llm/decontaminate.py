@@ -5,11 +5,12 @@ points beyond the basic plane count as letters). An
 item of m characters within k edits of a stretch of text shares at least m + 1 - q - k * q of its q-grams with it,
 on diagonals that lie within k of each other. Shared q-grams are counted in overlapping bands of diagonals, bands
 below the bound are discarded, and what remains is verified by an alignment inside the band. Long items are
-searched in overlapping parts, so that a long stretch of them counts.
+searched in overlapping parts, so that a long stretch of them counts. Items of fewer than ``Q`` characters are found as
+exact copies between word bounds; scripts written without spaces have a bound at every character.
 
 The benchmark is taken in chunks of at most ``CHUNK`` characters, each broadcast by itself against all documents.
 
-Defined results: null and empty texts, and items that fold to fewer than ``Q`` characters, match nothing; repeated
+Defined results: null and empty texts, and items that fold to nothing, match nothing; repeated
 rows and items are reported each; texts of any length are searched whole; empty tables give no rows; other columns
 are ignored.
 """
@@ -31,6 +32,7 @@ Q, SHARE, PART = 10, 0.08, 200
 CHUNK = 4 << 20
 FILTER_BITS = 22
 PRIME = np.uint64(0x100000001B3)
+SPACELESS = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x110000))  # fixed ranges
 
 
 def fold_table() -> np.ndarray:
@@ -89,6 +91,7 @@ class Index(NamedTuple):
     place: np.ndarray
     width: np.ndarray  # of each part's bands
     bound: np.ndarray
+    short: dict[int, tuple[np.ndarray, dict[bytes, list[int | None]]]]  # by length: sorted hashes, items by code points
 
 
 def parts_of(item: int | None, text: str | None, table: np.ndarray) -> list[Part]:
@@ -114,7 +117,44 @@ def index_of(items: list[tuple[int | None, str | None]]) -> Index:
     distinct, first = np.unique(h[by], return_index=True)
     seen = np.zeros(1 << FILTER_BITS, bool)
     seen[h >> np.uint64(64 - FILTER_BITS)] = True
-    return Index(table, parts, seen, distinct, np.r_[first, len(h)], part[by], place[by], np.array([p.edits + 1 for p in parts]), np.array([p.bound for p in parts]))
+    return Index(table, parts, seen, distinct, np.r_[first, len(h)], part[by], place[by], np.array([p.edits + 1 for p in parts]), np.array([p.bound for p in parts]), short_items(items, table))
+
+
+def short_items(items: list[tuple[int | None, str | None]], table: np.ndarray) -> dict[int, tuple[np.ndarray, dict[bytes, list[int | None]]]]:
+    by: dict[int, dict[bytes, list[int | None]]] = {}
+    for item, text in items:
+        code = folded(text, table)
+        if 0 < len(code) < Q:
+            by.setdefault(len(code), {}).setdefault(code.astype(np.uint32).tobytes(), []).append(item)
+    return {m: (np.unique([hashed(np.frombuffer(c, np.uint32)[None])[0] for c in own]), own) for m, own in by.items()}
+
+
+def hashed(windows: np.ndarray) -> np.ndarray:
+    """A hash of each row of code points."""
+    h = np.zeros(len(windows), np.uint64)
+    for column in windows.T:
+        h = h * PRIME + column.astype(np.uint64) + np.uint64(1)
+    return h
+
+
+def bounds(code: np.ndarray) -> np.ndarray:
+    """For each place between characters, and both ends, whether a word may begin or end there."""
+    free = code == 32
+    for a, b in SPACELESS:
+        free |= (code >= a) & (code < b)
+    return np.r_[True, free[1:] | free[:-1], True]
+
+
+def short_matches(code: np.ndarray, index: Index) -> Iterator[tuple[int | None, int]]:
+    """Each short item found in the folded text, and its length."""
+    edge = bounds(code) if index.short and len(code) else np.zeros(1, bool)
+    for m, (hashes, own) in index.short.items():
+        at = np.flatnonzero(edge[: max(0, len(edge) - m)] & edge[m:])
+        if len(at):
+            windows = code[at[:, None] + np.arange(m)].astype(np.uint32)
+            windows = windows[np.isin(hashed(windows), hashes)]
+            for found in {w.tobytes() for w in windows} & own.keys():
+                yield from ((item, m) for item in own[found])
 
 
 def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int | None = None) -> int:
@@ -144,6 +184,10 @@ def banded(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int
 def matches(text: str | None, index: Index) -> dict[int | None, tuple[int, int]]:
     """For each item found in the text, the least edits of a part and how many characters it has."""
     code = folded(text, index.fold)
+    return long_matches(code, index) | {item: (0, m) for item, m in short_matches(code, index)}
+
+
+def long_matches(code: np.ndarray, index: Index) -> dict[int | None, tuple[int, int]]:
     h = grams(code)
     at = np.flatnonzero(index.seen[h >> np.uint64(64 - FILTER_BITS)])
     if not len(at) or not len(index.grams):

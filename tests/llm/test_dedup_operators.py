@@ -222,6 +222,17 @@ def test_decontamination(spark):
     assert decontaminate.leaks(frame(spark, pairs), bench.limit(0)).count() == 0
 
 
+def test_short_items_are_found_as_exact_copies(spark):
+    items = [(1, "4 + 17"), (2, "Cat"), (3, "水の音"), (4, "..."), (5, "cat"), (6, "nine char"), (7, "a long enough item of words")]
+    texts = ["so 4 + 17 it is", "14 + 17", "concatenate", "a CAT!", "古池や蛙飛びこむ水の音", "nine chars", "nine, char", "cat: a long enough item of words", None, "", "4 17"]
+    expected = {(0, 1), (3, 2), (3, 5), (4, 3), (6, 6), (7, 2), (7, 5), (7, 7), (10, 1)}
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, enumerate(texts)), bench).collect()}
+    assert got == expected
+    kept = {r.doc_id for r in decontaminate.without_leaks(frame(spark, enumerate(texts)), bench).collect()}
+    assert kept == set(range(len(texts))) - {d for d, _ in expected}
+
+
 SECRETS = [
     'password = "abcdefghijkl" token: short api_key=ABCDEFGHIJKL/+=',
     "token=secret: abcdefghijklmnop",
