@@ -6,7 +6,7 @@ follow-the-regularised-leader and elastic-net penalties on at most ``per_lang``
 hash of their ids), and a temperature is fitted on every fifth of them, which the weights have not seen.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without anything to learn from
-every text is ``und``; languages beyond the ``MOST_LANGS`` most frequent are not learnt; repeated rows are judged
+every text is ``und``; every language is learnt, however rare; repeated rows are judged
 alike; texts of any length are judged whole; an empty table gives no rows; other columns are ignored.
 """
 
@@ -24,7 +24,7 @@ from quillon.llm.common import held_out
 from quillon.llm.textbatch import slices
 
 BUCKETS, MOST = 1 << 14, 3
-PER_LANG, MOST_LANGS = 500, 256
+PER_LANG = 500
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 3
 
 
@@ -121,14 +121,15 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     idf = np.full(BUCKETS, np.log(1.0 + total))
     for k, v in df.items():
         idf[k] = np.log((1.0 + total) / (1.0 + v)) + 0.1
-    langs = sorted(r["lang"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect())
+    langs = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").where(F.col("lang").isin(langs)).withColumn("_r", rank).where(F.col("_r") <= per_lang).select("doc_id", "lang")
+    chosen = usable.select("doc_id", "lang").withColumn("_r", rank).where(F.col("_r") <= per_lang).select("doc_id", "lang")
     sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(_sparse, "key long, lang string, at array<int>, n array<int>").toArrow()
     got = sorted(((k, lang, at, n) for k, lang, at, n in zip(sample.column("key").to_pylist(), sample.column("lang").to_pylist(), (x.values.to_numpy() for x in sample.column("at")), (x.values.to_numpy() for x in sample.column("n")), strict=True)), key=lambda r: (r[0], r[1], len(r[2]), r[3].tobytes()))
     if not got:
         return None
-    y = np.array([langs.index(r[1]) for r in got])
+    number = {lang: i for i, lang in enumerate(langs)}
+    y = np.array([number[r[1]] for r in got])
     rows = [(r[2], vector(r[2], r[3], idf)) for r in got]
     last = np.arange(len(y)) % 5 == 4
     fit = np.flatnonzero(~last)

@@ -93,6 +93,14 @@ def test_language_id(spark):
     assert langid.language_id(blank).first().lang_pred == "und"
 
 
+def test_every_language_is_learnt(spark):
+    made = [(4 * k + j, " ".join([chr(0x4E00 + 8 * k + j), chr(0x4E00 + 8 * k + 7)] * 20), f"l{k:03}", None, None, None) for k in range(264) for j in range(4)]
+    got = {r.doc_id: r for r in langid.language_id(spark.createDataFrame(made, DOCS)).collect()}
+    learnt = {k for i, _, k, *_ in made if not got[i].held_out}
+    assert {"l256", "l263"} <= learnt and len(learnt) > 256
+    assert {k for i, _, k, *_ in made if got[i].lang_pred == k} >= learnt
+
+
 def test_quality_model_held_out(spark):
     rng = random.Random(4)
     made = [(i, " ".join((rng.choice(["spam!!", "WIN$$", "free##"]) if i % 4 == 0 else rng.choice(["river", "stone", "garden", "walked"])) for _ in range(30)), None, None, None, None) for i in range(400)]
