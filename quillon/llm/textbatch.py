@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,3 +46,39 @@ def coded(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     """Each word as a number, and the distinct words by number."""
     d = pa.array(words, pa.large_binary()).dictionary_encode()
     return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
+
+
+def freed(rows: Iterator) -> Iterator:
+    """``rows``; after the last one, the memory that the task has freed goes back to the system.
+
+    Python workers outlive their tasks, and what their allocators keep would count against the executor.
+    """
+    try:
+        yield from rows
+    finally:
+        del rows
+        release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU C library
+        trim(0)
+
+
+def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All UTF-8 bytes of the texts, and where each text begins (and the last ends); null is empty."""
+    whole = pc.fill_null(column.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    raw = np.frombuffer(whole.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return raw, offsets - offsets[0]
+
+
+def byte_strings(raw: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The strings of ``raw`` between ``offsets``, without a copy."""
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(raw)])
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (size[0] of them), first[1], ..."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))

@@ -37,8 +37,26 @@ def test_bpe_is_the_librarys(spark):
 
 
 def test_words_join_to_the_text():
-    for text in ("a  b", " a", "a ", "\n \n b", "  ", "", "a \nb c"):
-        assert "".join(bpe.words(text, None)) == text
+    space = " \t\n\v\f\r"
+    for text in ("a  b", " a", "a ", "\n \n b", "  ", "", "a \nb c", "\u00e9 x\u3000 y\x1c z\xa0 \u201cq\u201d r"):
+        words = bpe.words(text)
+        assert "".join(words) == text and all(words)
+        assert all(w[0] in space and v[-1] not in space for v, w in zip(words, words[1:], strict=False))
+    assert bpe.words("a b  c\nd") == ["a", " b", "  c", "\nd"] and bpe.words("a b", False) == ["a b"]
+
+
+def test_bpe_takes_many_special_tokens_and_other_vocabularies(spark):
+    texts = ["x <|endoftext|> " * 1200, "<|endoftext|>" * 1100, "Two  words\n"]
+    docs = spark.createDataFrame(rows(texts), DOCS)
+    import public_tokenizers
+
+    for path in (bpe.default_path(), public_tokenizers.path("word_bpe_49k.json")):
+        tokenizer = bpe.load_tokenizer(path)
+        got = {r.doc_id: list(r.ids) for r in bpe.encode(docs, path, stable=False).collect()}
+        assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    bad = spark.createDataFrame([(1, None), (2, []), (3, [188, 64])], "k int, ids array<int>")
+    tokenizer = bpe.load_tokenizer(bpe.default_path())
+    assert {r.k: r.decoded for r in bpe.decode(bad).collect()} == {1: "", 2: "", 3: tokenizer.decode([188, 64], skip_special_tokens=False)}
 
 
 def repeated_words(text):
