@@ -165,6 +165,8 @@ def _word_lists(batches: Iterator[pa.RecordBatch], buckets: int, cut: bool) -> I
         by = np.argsort(block.bucket, kind="stable")
         raw, offsets = flat_bytes(block.words.take(pa.array(by)))
         found, first = np.unique(block.bucket[by], return_index=True)
+        if not len(found):
+            continue
         ends = np.append(first[1:], len(by))
         lists = [packed(np.diff(offsets[a : b + 1])) for a, b in zip(first, ends, strict=True)]
         texts = [zstandard.compress(raw[offsets[a] : offsets[b]].tobytes(), 3) for a, b in zip(first, ends, strict=True)]
