@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,10 +14,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``. Only a local master may leave it unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="quillon-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        at = "file://" + own
         spark.conf.set("spark.checkpoint.dir", at)
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -30,7 +36,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table of a ``staged`` result that nothing will read again; other DataFrames stay as they are."""
+    if at := getattr(df, "_staged_at", None):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ascii_lower(c: Column) -> Column:
@@ -38,7 +53,18 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
+    """Arrow batches of a bounded size between the JVM and Python, where the session does not set its own.
+
+    By default a batch has 10,000 texts, of which the JVM and each Python worker hold several.
+    """
+    for key, most in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", size)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{key}", None) is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", most)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

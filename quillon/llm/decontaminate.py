@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.textbatch import slices
+from quillon.llm.textbatch import freed, slices
 
 Q, SHARE, PART = 10, 0.08, 200
 CHUNK = 4 << 20
@@ -250,7 +250,7 @@ def chunks(benchmark: DataFrame) -> list[list[tuple[int | None, str | None]]]:
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, item_id, edits, length (of the item or part that matched) for every document and item found in it."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs["text"])
-    found = [rows.mapInArrow(lambda it, i=index_of(c): _found(it, i), "doc_id long, item_id long, edits long, length long") for c in chunks(benchmark)]
+    found = [rows.mapInArrow(lambda it, i=index_of(c): freed(_found(it, i)), "doc_id long, item_id long, edits long, length long") for c in chunks(benchmark)]
     return reduce(DataFrame.union, found)
 
 
@@ -262,5 +262,5 @@ def _clean(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, in which no benchmark item is found."""
     for c in chunks(benchmark):
-        docs = docs.mapInArrow(lambda it, i=index_of(c): _clean(it, i), docs.schema)
+        docs = docs.mapInArrow(lambda it, i=index_of(c): freed(_clean(it, i)), docs.schema)
     return docs

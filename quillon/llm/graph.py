@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged
+from quillon.llm.common import discard, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = staged(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     was = mark(now)
     while was[0]:
-        now = staged(stars(stars(now, True), False), "edges")
+        before, now = now, staged(stars(stars(now, True), False), "edges")
+        discard(before)
         new = mark(now)
         if new == was:
             break

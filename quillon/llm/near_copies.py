@@ -5,8 +5,11 @@ one another. A hash that only this set has breaks ``GRAM`` of its grams, one tha
 ``GRAM - 1``. With n hashes and similarity t at most ``broken`` = (1 - t) * n * max(GRAM, (GRAM - 1) / t) of the n
 grams break, so each of two near copies has one of the grams in common among its ``broken + 1`` least ones. Sets that
 share such a gram are chained, never paired. Each component of the chains meets in one task, which finds the pairs at
-or above the limit by prefix filtering on the component's rarest hashes and exact counts, and joins their groups; sets
-already in a group are not held against one another.
+or above the limit by prefix filtering on the component's rarest hashes, tables of Hamming distances from SimHash
+fingerprints to pivots (pairs whose greatest coordinate difference exceeds the bound go, as do pairs beyond it), and exact
+counts of what survives, and joins their groups; sets already in a group are not held against one another. The bound on
+the fingerprints lies eight standard deviations beyond the distance of the least similar near copies, so that what it
+loses (below one pair in 10**14) is left out of account.
 
 Defined results: words are split at ASCII white space and A-Z are folded; a text of fewer words than a shingle is one
 shingle; null and empty texts have the empty set and are copies of one another; equal sets are copies; texts of any
@@ -26,9 +29,10 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import staged
 from quillon.llm.graph import components
-from quillon.llm.textbatch import as_bytes, slices
+from quillon.llm.textbatch import as_bytes, freed, slices, spread
 
 SEED, GRAM = 42, 3
+WIDTH, PIVOTS = 4, 16  # words of a fingerprint, reference fingerprints of a component
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -52,7 +56,7 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
         offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
         sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-        yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), pa.array(node), sets], names=["doc_id", "node", "shingles"])
+        yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), piece.column(2), pa.array(node), sets], names=["doc_id", "text_hash", "node", "shingles"])
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,6 +110,32 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
 
+def wide_fingerprints(values: np.ndarray, offsets: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """sets x words: majority bits of the hashes of each set, and of numbers mixed from them."""
+    size = np.diff(offsets)
+    total = np.zeros((len(size), 64 * WIDTH), np.int32)
+    for a in range(0, len(values), at_once):
+        h = values[a : a + at_once].view(np.uint64)
+        own = np.searchsorted(offsets, np.arange(a, a + len(h)), side="right") - 1
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        for w in range(WIDTH):
+            with np.errstate(over="ignore"):
+                h = (h ^ (h >> np.uint64(31))) * MIX if w else h
+            bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1)
+            total[own[first], 64 * w : 64 * w + 64] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return np.packbits(2 * total > size[:, None], axis=1).view(np.uint64)
+
+
+def most_bits(least: Fraction) -> int:
+    """Differing bits of the fingerprints of two sets at the similarity ``least``, and eight standard deviations.
+
+    The angle between the sets' indicators gives the share of differing bits; sets of few hashes differ by at most
+    0.05 more.
+    """
+    share = float(np.arccos(float(2 * least / (1 + least))) / np.pi) + 0.05
+    return int(64 * WIDTH * share + 8 * (64 * WIDTH * share * (1 - share)) ** 0.5)
+
+
 def grouped(values: np.ndarray, offsets: np.ndarray, least: Fraction) -> np.ndarray:
     """For each of these sets, the place of the first one that it is joined with by pairs at or above ``least``."""
     p, q = least.numerator, least.denominator
@@ -125,6 +155,9 @@ def grouped(values: np.ndarray, offsets: np.ndarray, least: Fraction) -> np.ndar
     label = np.full(count, -1)
     mark = np.zeros(len(often), bool)
     left = listed = count
+    fp, bits = wide_fingerprints(values, offsets), most_bits(least)
+    pivots = fp[np.linspace(0, count - 1, min(PIVOTS, count)).astype(np.int64)]
+    table = np.stack([np.bitwise_count(fp ^ p).sum(1, dtype=np.int16) for p in pivots])
     for seed in range(count):
         if label[seed] >= 0:
             continue
@@ -136,15 +169,18 @@ def grouped(values: np.ndarray, offsets: np.ndarray, least: Fraction) -> np.ndar
             own = code[offsets[m] : offsets[m + 1]]
             a = first[own[: prefix[m]]]
             n = first[own[: prefix[m]] + 1] - a
-            near = post[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            near = post[spread(a, n)]
             near = np.unique(near[label[near] < 0])
             near = near[(q * size[near] >= p * size[m]) & (p * size[near] <= q * size[m])]
+            for row in table:  # discard by coordinates, one pivot after another
+                near = near[np.abs(row[near] - row[m]) <= bits]
+            near = near[np.bitwise_count(fp[near] ^ fp[m]).sum(1, dtype=np.int16) <= bits]
             if not len(near):
                 continue
             n = size[near]
             ends = np.cumsum(n)
             mark[own] = True
-            shared = np.add.reduceat(mark[code[np.repeat(offsets[near] - (ends - n), n) + np.arange(ends[-1])]], ends - n, dtype=np.int64)
+            shared = np.add.reduceat(mark[code[spread(offsets[near], n)]], ends - n, dtype=np.int64)
             mark[own] = False
             near = near[(p + q) * shared >= p * (n + size[m])]
             label[near] = seed
@@ -185,14 +221,14 @@ def _groups(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[pa.R
 
 
 def near_copies(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two tables: doc_id and node (the text's set) for every row; node and root for every set that joins another's group."""
+    """Two tables: doc_id, text_hash and node (the text's set) for every row; node and root for every set that joins another's group."""
     least = Fraction(str(similarity))
     if not Fraction(GRAM - 1, GRAM) < least <= 1:
         raise ValueError(f"similarity {similarity}: grams of {GRAM} find all pairs only above {GRAM - 1}/{GRAM}")
-    texts = docs.select(docs[id_col], docs[text_col])  # read three times: sets take more room than texts
-    rows = staged(texts.mapInArrow(lambda it: (b.select(["doc_id", "node"]) for b in _sets(it, shingle)), "doc_id long, node long"), "set-nodes")
-    grams = texts.mapInArrow(lambda it: _signatures(_sets(it, shingle), least), "gram long, node long").repartition("gram").sortWithinPartitions("gram", "node")
-    chained = components(grams.mapInArrow(_chains, "a long, b long"))
-    sets = texts.mapInArrow(lambda it: (b.select(["node", "shingles"]) for b in _sets(it, shingle)), "node long, shingles array<long>")
+    texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))  # read three times: sets take more room than texts
+    rows = staged(texts.mapInArrow(lambda it: freed(b.select(["doc_id", "text_hash", "node"]) for b in _sets(it, shingle)), "doc_id long, text_hash long, node long"), "set-nodes")
+    grams = texts.mapInArrow(lambda it: freed(_signatures(_sets(it, shingle), least)), "gram long, node long").repartition("gram").sortWithinPartitions("gram", "node")
+    chained = components(grams.mapInArrow(lambda it: freed(_chains(it)), "a long, b long"))
+    sets = texts.mapInArrow(lambda it: freed(b.select(["node", "shingles"]) for b in _sets(it, shingle)), "node long, shingles array<long>")
     met = sets.join(chained.hint("shuffle_hash"), "node").select("node", "shingles", "root").repartition("root").sortWithinPartitions("root", "node")
-    return rows, staged(met.mapInArrow(lambda it: _groups(it, least), "node long, root long"), "near-copies")
+    return rows, staged(met.mapInArrow(lambda it: freed(_groups(it, least)), "node long, root long"), "near-copies")

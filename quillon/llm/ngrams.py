@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+
+from quillon.llm.textbatch import flat_bytes
 
 BUCKETS = 1 << 17
 LEAST, MOST = 3, 5
@@ -15,10 +18,16 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_features(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+def word_features(words: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and word number of each feature: the whole word, and byte n-grams of ``<word>``."""
-    buf = np.frombuffer(b"".join(b"<%b>" % w for w in words), np.uint8).astype(np.uint64)
-    size = np.array([len(w) + 2 for w in words], np.int64)
+    raw, offsets = flat_bytes(words)
+    size = np.diff(offsets) + 2
+    buf = np.empty(int(size.sum()), np.uint64)
+    ends = np.cumsum(size)
+    inner = np.ones(len(buf), bool)
+    inner[ends - size] = inner[ends - 1] = False
+    buf[inner] = raw
+    buf[ends - size], buf[ends - 1] = ord("<"), ord(">")
     owner = np.repeat(np.arange(len(words)), size)
     found, owners = [], []
     with np.errstate(over="ignore"):

@@ -6,7 +6,7 @@ documents (by the hash of their ids). The layer is linear in the vectors, so eac
 when documents are scored, and each distinct word of a slice is worked out once.
 
 Defined results: null and empty texts score as the bias alone says; null labels are not learnt from; a document
-that is labelled twice counts with each label; without labels of both kinds every score is the share of good
+that is labelled twice counts with each label, an id that repeats with the least of its texts; without labels of both kinds every score is the share of good
 labels (0.5 without any); an empty table gives no rows; other columns are ignored.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import held_out
 from quillon.llm.ngrams import BUCKETS, word_features
-from quillon.llm.textbatch import as_bytes, coded, slices, words_of
+from quillon.llm.textbatch import coded_words, freed, slices
 
 SAMPLE = 3000
 DIM, EPOCHS, RATE, SEED = 8, 8, 4.0, 7
@@ -31,9 +31,12 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label, buckets and their shares of the document's features."""
     for piece in slices(batches, "text"):
         labels, at, share = [], [], []
-        for label, text in zip(piece.column(0).to_pylist(), as_bytes(piece.column(1)), strict=True):
-            if words := text.split():
-                found, n = np.unique(word_features(words)[0], return_counts=True)
+        for i, label in enumerate(piece.column(0).to_pylist()):
+            codes, words, _ = coded_words(piece.column(1).slice(i, 1))
+            if len(codes):
+                bucket, owner = word_features(words)
+                found, place = np.unique(bucket, return_inverse=True)
+                n = np.bincount(place, weights=np.bincount(codes)[owner])
                 labels.append(label)
                 at.append(found.astype(np.int32))
                 share.append((n / n.sum()).astype(np.float32))
@@ -75,11 +78,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: s
     chosen = (
         labels.where(~held_out(F.col("doc_id")) & F.col(label_col).isNotNull())
         .select("doc_id", F.col(label_col).cast("int").alias("label"))
+        .distinct()
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(sample)
     )
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_vectors, "label int, at array<int>, share array<float>")
-    got = rows.toArrow()
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    got = rows.select("label", "text").mapInArrow(lambda it: freed(_vectors(it)), "label int, at array<int>, share array<float>").toArrow()
     y = got.column("label").to_numpy().astype(np.int64)
     at = [x.values.to_numpy() for x in got.column("at")]
     share = [x.values.to_numpy() for x in got.column("share")]
@@ -89,8 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: s
 
 def _scored(batches: Iterator[pa.RecordBatch], each: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
     for piece in slices(batches):
-        words, n = words_of(piece.column(1))
-        codes, distinct = coded(words)
+        codes, distinct, n = coded_words(piece.column(1))
         bucket, owner = word_features(distinct)
         total = np.bincount(owner, weights=each[bucket], minlength=len(distinct))
         features = np.bincount(owner, minlength=len(distinct))
@@ -103,7 +106,7 @@ def _scored(batches: Iterator[pa.RecordBatch], each: np.ndarray, bias: float) ->
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted for every document."""
     each, bias = train(docs, labels, sample)
-    scored = docs.select("doc_id", "text").mapInArrow(lambda it: _scored(it, each, bias), "doc_id long, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(lambda it: freed(_scored(it, each, bias)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -117,4 +120,4 @@ def _kept(batches: Iterator[pa.RecordBatch], each: np.ndarray, bias: float, thre
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs``, with all columns, whose score reaches ``threshold``."""
     each, bias = train(docs, labels, sample)
-    return docs.mapInArrow(lambda it: _kept(it, each, bias, threshold), docs.schema)
+    return docs.mapInArrow(lambda it: freed(_kept(it, each, bias, threshold)), docs.schema)

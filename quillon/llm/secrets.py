@@ -125,8 +125,18 @@ def secret_report(docs: DataFrame, **options) -> DataFrame:
     )
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as no column of ``df`` has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
 def redacted(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every found span replaced by ``mark`` and ``n_chars`` brought up to date; texts without findings stay as they are."""
+    """``docs`` with every found span replaced by ``mark`` and ``n_chars`` brought up to date.
+
+    Texts without findings stay as they are, and so do all other columns, whatever their names.
+    """
     ledger = options.pop("ledger", None) or fresh_path(docs.sparkSession, "blob-ledger")
     found = update_ledger(docs, ledger, **options).where(F.size("spans") > 0).select("blob", "spans")
 
@@ -137,11 +147,12 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", **options) -> DataFrame:
         return F.when((F.size(acc) > 0) & (s["start"] <= last["end"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(span)))
 
     merged = F.aggregate("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)"), merge)
-    found = found.select("blob", merged.alias("_cut"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    cut_at, blob, salt = (unused(docs, x) for x in ("cut", "blob", "salt"))
+    found = found.select(F.col("blob").alias(blob), merged.alias(cut_at), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("blob", F.sha2(text, 256)).withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    joined = keyed.join(found, ["blob", "_salt"], "left")
-    cut = F.col("_cut")
+    keyed = docs.withColumn(blob, F.sha2(text, 256)).withColumn(salt, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    joined = keyed.join(found, [blob, salt], "left")
+    cut = F.col(cut_at)
 
     def clean(acc: Column, s: Column) -> Column:
         piece = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])

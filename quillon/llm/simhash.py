@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from quillon.llm.common import staged
 from quillon.llm.graph import components
 from quillon.llm.near_copies import near_copies
-from quillon.llm.textbatch import as_bytes, slices
+from quillon.llm.textbatch import as_bytes, freed, slices
 
 SEED, PIVOTS, SALTS = 42, 24, 8
 MASK = (1 << 64) - 1
@@ -85,7 +85,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int, width: int) -
 def fingerprints(docs: DataFrame, shingle: int = 4, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the fingerprint's words as signed longs (fp, fp1, ...) for every row."""
     schema = ", ".join(f"{c} long" for c in ["doc_id", *columns(width)])
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lambda it: _fingerprints(it, shingle, width), schema)
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lambda it: freed(_fingerprints(it, shingle, width)), schema)
 
 
 def masks(bits: int, n: int) -> list[int]:
@@ -191,7 +191,7 @@ def links(distinct: DataFrame, bits: int, width: int, n: int) -> DataFrame:
     keyed = distinct.select("node", *cols, F.explode(tables).alias("x"))
     keyed = keyed.select(F.xxhash64(F.col("x")[0], *[F.col(c).bitwiseAND(F.col("x")[i + 1]) for i, c in enumerate(cols)]).alias("key"), "node", *cols)
     dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(lambda it: _forest(it, bits), "a long, b long")
+    return dealt.mapInArrow(lambda it: freed(_forest(it, bits)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, width: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,13 +221,14 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     """The rows of ``docs`` that name their component: one document of each group of near copies.
 
     Links are the pairs whose sets of shingles have the similarity (shared by all) or more, found and decided
-    exactly. Rows without an id stay, and so do rows that repeat the id that is kept.
+    exactly. Rows without an id stay, and so do rows that repeat the id that is kept; of an id with several texts
+    each is judged by its own text.
     """
     rows, roots = near_copies(docs, shingle, similarity)
     classes = staged(rows.groupBy("node").agg(F.min("doc_id").alias("least")), "set-classes")
     found = named(rows, classes, roots)
-    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(dropped, (docs["doc_id"] == F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
 
 
 def simhash_report(docs: DataFrame) -> DataFrame:

@@ -48,6 +48,21 @@ def coded(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
     return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
 
 
+def coded_words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """All ASCII-whitespace separated words of the texts in order as numbers, the distinct words, the words of each text."""
+    raw, offsets = flat_bytes(column)
+    inside = ~((raw == 32) | (raw - np.uint8(9) <= 4))
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    texts = offsets[:-1][np.diff(offsets) > 0]
+    first[texts] = inside[texts]
+    starts = np.flatnonzero(first)
+    place = np.cumsum(inside)
+    words = byte_strings(raw[inside], np.append(place[starts] - 1, place[-1] if len(place) else 0))
+    d = words.dictionary_encode()
+    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary, np.diff(np.searchsorted(starts, offsets))
+
+
 def freed(rows: Iterator) -> Iterator:
     """``rows``; after the last one, the memory that the task has freed goes back to the system.
 
