@@ -60,7 +60,7 @@ def words(c: Column) -> Column:
 def is_english(c: Column, shortest: int = 40, least_ratio: float = 0.6, least_words: int = 2) -> Column:
     """Share of a-z among letters and number of distinct stop words; short texts pass, texts without letters fail."""
     low = F.lower(c)
-    latin = F.length(F.regexp_replace(low, "[^a-z]", ""))
+    latin = F.length(low) - F.length(F.translate(low, "abcdefghijklmnopqrstuvwxyz", ""))
     letters = F.length(F.regexp_replace(low, r"[^\p{L}]", ""))
     stops = F.size(F.array_intersect(words(low), F.array(*map(F.lit, STOP_WORDS))))
     return (F.length(c) < shortest) | F.coalesce(F.try_divide(latin, letters) >= least_ratio, F.lit(False)) & (stops >= least_words)
@@ -104,13 +104,14 @@ def fingerprint(c: Column) -> Column:
 
 
 def occurrences(c: Column, word: str) -> Column:
-    """Occurrences of ``word`` as a substring, not overlapping."""
-    return ((F.length(c) - F.length(F.replace(c, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    """Occurrences of ``word`` as a substring, not overlapping. Bytes are compared: a text knows how many it has."""
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(word), F.lit("")))) / len(word.encode())).cast("int")
 
 
 def topic_scores(c: Column, topics: Mapping[str, Sequence[str]]) -> list[Column]:
     low = F.lower(c)
-    return [sum((occurrences(low, w) for w in keys), F.lit(0)) for keys in topics.values()]
+    counts = {w: occurrences(low, w) for keys in topics.values() for w in keys}
+    return [sum((counts[w] for w in keys), F.lit(0)) for keys in topics.values()]
 
 
 def _first_best(scores: list[Column], values: list[Column], default: Column) -> Column:
@@ -144,6 +145,20 @@ def style_features(c: Column) -> Column:
     )
 
 
+def token_style_features(ids: Column, mask: Column, batch: int = 1, punctuation_above: int = 50_000) -> Column:
+    """(type_token_ratio, punct_ratio, avg_length) of token ids: of those in the mask, of ids above a bound, over the batch.
+
+    Zeros where the mask is empty.
+    """
+    own = F.transform(F.filter(F.arrays_zip(ids.alias("t"), mask.alias("m")), lambda x: x["m"] != 0), lambda x: x["t"])
+    n = F.size(own)
+    return F.struct(
+        F.coalesce(F.try_divide(F.size(F.array_distinct(own)), n), F.lit(0.0)).alias("type_token_ratio"),
+        F.coalesce(F.try_divide(F.size(F.filter(ids, lambda t: t > punctuation_above)), n), F.lit(0.0)).alias("punct_ratio"),
+        (n / F.lit(float(batch))).alias("avg_length"),
+    )
+
+
 def is_anonymous(author: Column) -> Column:
     """Blank, one of the collective names, or containing one of the collective words."""
     a = F.lower(F.trim(F.coalesce(author, F.lit(""))))

@@ -34,13 +34,31 @@ def not_indexed(files: DataFrame, index: DataFrame, key: str = "path") -> DataFr
 
 
 def unique_names(names: DataFrame, name: str = "name", order: str = "path", taken: DataFrame | None = None) -> DataFrame:
-    """Adds unique: the name, with _1, _2, ... before the suffix on each further use; names already taken count as used."""
-    rows = names.withColumn("_taken", F.lit(0))
-    if taken is not None:
-        rows = names.join(taken.select(name).distinct().withColumn("_taken", F.lit(1)), name, "left").withColumn("_taken", F.coalesce("_taken", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1 + F.col("_taken")
+    """Adds unique: the name on its first use (by ``order``), and the stem with the least free number after it on further ones.
+
+    Numbers are free if no row is named so, no name in ``taken`` is so, and no earlier row has got it; names already taken
+    count as used. What is made of one stem can only meet names that are that stem and a number, so numbers are dealt a
+    stem at a time: a window counts, for the r-th use, the used numbers that have fewer than r free ones below them.
+    """
     stem = F.regexp_replace(F.col(name), r"\.txt$", "")
-    return rows.withColumn("unique", F.concat(stem, F.when(place > 0, F.concat(F.lit("_"), place.cast("string"))).otherwise(""), F.lit(".txt"))).drop("_taken")
+    rows = names.withColumn("_stem", stem).withColumn("_use", F.row_number().over(Window.partitionBy("_stem").orderBy(order)))
+    used = names.select(stem.alias("_stem"))
+    if taken is not None:
+        before = taken.select(stem.alias("_stem")).distinct()
+        used = used.union(before)
+        rows = rows.join(before.withColumn("_taken", F.lit(1)), "_stem", "left")
+    rows = rows.withColumn("_use", F.col("_use") - 1 + (F.coalesce("_taken", F.lit(0)) if taken is not None else 0)).drop("_taken")
+    number = F.regexp_extract("_stem", r"^.*_([1-9]\d{0,8})$", 1)
+    used = used.where(number != "").select(F.regexp_extract("_stem", r"^(.*)_[1-9]\d{0,8}$", 1).alias("_stem"), number.cast("int").alias("_n")).distinct()
+    used = used.join(rows.where("_use > 0").select("_stem").distinct(), "_stem", "left_semi")
+    free = F.col("_n") - F.row_number().over(Window.partitionBy("_stem").orderBy("_n"))  # free numbers below
+    marks = used.select("_stem", free.alias("_use")).groupBy("_stem", "_use").agg(F.count("*").alias("_more"))
+    uses = rows.where("_use > 0").select("_stem", "_use").withColumn("_more", F.lit(None).cast("bigint"))
+    earlier = Window.partitionBy("_stem").orderBy("_use").rangeBetween(Window.unboundedPreceding, -1)
+    shifted = uses.unionByName(marks).withColumn("_shift", F.coalesce(F.sum("_more").over(earlier), F.lit(0))).where(F.col("_more").isNull()).drop("_more")
+    numbered = rows.join(shifted, ["_stem", "_use"], "left")
+    tail = F.when(F.col("_use") > 0, F.concat(F.lit("_"), (F.col("_use") + F.col("_shift")).cast("string"))).otherwise("")
+    return numbered.withColumn("unique", F.concat("_stem", tail, F.lit(".txt"))).select(*names.columns, "unique")
 
 
 def lines_of(documents: DataFrame, key: str = "doc_id", most: int = 1500) -> DataFrame:
@@ -99,10 +117,12 @@ def titles(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     own = Window.partitionBy(key).orderBy("at")
     below = F.max(F.col("s").rlike(r"(?i)^(by|translated\s+by|edited\s+by)\b").cast("int")).over(own.rowsBetween(1, 5))
     boiler = F.arrays_overlap(F.split(F.regexp_replace(F.upper("s"), "[^A-Z]", " "), " +", -1), F.array(*map(F.lit, N.EXCLUDED)))
-    article = F.when(F.upper(stripped(F.col("before"))).isin(*ARTICLES) & N.mostly_upper(stripped(F.col("before"))), F.concat(stripped(F.col("before")), F.lit(" "))).otherwise(F.lit(""))
-    whole = F.concat(article, F.col("s"))
+    one, two = stripped(F.col("before")), stripped(F.coalesce(F.lag("line", 2).over(own), F.lit("")))
+    above = F.when(one != "", one).otherwise(two)  # one blank line may stand between
+    article = F.when(F.upper(above).isin(*ARTICLES) & N.mostly_upper(above), F.concat(above, F.lit(" "))).otherwise(F.lit(""))
     score = candidate_score(*[F.col(c) for c in ("line", "at", "before", "after", "next5", "back30")])
-    found = lines.withColumn("below", below).withColumn("like", like).withColumn("score", F.when(F.col("like"), score))
+    found = lines.withColumn("below", below).withColumn("like", like).withColumn("score", F.when(F.col("like"), score)).withColumn("whole", F.concat(article, F.col("s")))
+    whole = F.col("whole")
     at = F.col("at")
     options = [
         F.when((at < 400) & (field != "") & known, F.struct(F.lit(1).alias("stage"), at.alias("order"), stripped(field).alias("title"), F.lit("high").alias("confidence"))),

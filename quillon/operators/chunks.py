@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators.cleaning import composed
 from quillon.operators.ranking import global_rank, sampled_per
+from quillon.sources.staging import staged
 
 
 def as_books(documents: DataFrame) -> DataFrame:
@@ -16,9 +18,17 @@ def as_books(documents: DataFrame) -> DataFrame:
 
 
 def book_chunks(books: DataFrame, size: int = 14, overlap: int = 4, min_chars: int = 200, english: bool = True, fallback: str = "none") -> DataFrame:
-    """One row per chunk: book_id, author, doc_id, idx, chunk. Books without chunks go."""
+    """One row per chunk: book_id, author, doc_id, idx, chunk. Books without chunks go.
+
+    Texts are taken in normal form C. Without a fallback, windows are tested as rows: short ones go before their
+    language is looked at.
+    """
     items = T.sentences(T.collapsed(F.col("text")))
-    rows = books.select("book_id", "author", "doc_id", items.alias("_items"))
+    rows = composed(books.select("book_id", "author", "doc_id", "text")).select("book_id", "author", "doc_id", items.alias("_items"))
+    if fallback == "none":
+        cut = rows.select("book_id", "author", "doc_id", F.posexplode(T.windows(F.col("_items"), size, overlap)).alias("idx", "chunk"))
+        cut = cut.withColumn("chunk", T.stripped(F.col("chunk"))).where(F.length("chunk") >= min_chars)
+        return cut.where(T.is_english(F.col("chunk"))) if english else cut
     return rows.select("book_id", "author", "doc_id", F.explode(T.chunks(F.col("_items"), size, overlap, min_chars, english, fallback)).alias("c")).select(
         "book_id", "author", "doc_id", "c.idx", "c.chunk"
     )
@@ -36,8 +46,10 @@ def fingerprint_counts(chunks: DataFrame) -> DataFrame:
 def deduplicated(chunks: DataFrame, most_books: int = 3) -> DataFrame:
     """Chunks whose fingerprint is in at most ``most_books`` books; beyond that all copies go.
 
-    Only the frequent fingerprints are joined, so common boilerplate is a small right side of an anti join.
+    Chunks are written once and read for the counts and for the join. Only the frequent fingerprints are joined, so
+    common boilerplate is a small right side of an anti join.
     """
+    chunks = staged(chunks, "chunks")
     often = fingerprint_counts(chunks).where(F.col("n_books") > most_books).select("fp")
     return chunks.join(often, "fp", "left_anti")
 
@@ -48,6 +60,13 @@ def capped(chunks: DataFrame, most: int = 800, seed: str = "42") -> DataFrame:
     return sampled_per(chunks, ["book_id"], [order, F.col("idx")], most)
 
 
+def statuses(books: DataFrame, **options) -> DataFrame:
+    """book_id, status, n_chunks of every book: ok, empty (no chunk), or error (no text to read)."""
+    counted = book_chunks(books, **options).groupBy("book_id").agg(F.count("*").alias("n_chunks"))
+    status = F.when(F.col("text").isNull(), "error").when(F.col("n_chunks") > 0, "ok").otherwise("empty")
+    return books.join(counted, "book_id", "left").select("book_id", status.alias("status"), F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"))
+
+
 def positioned(chunks: DataFrame) -> DataFrame:
     """Adds pos, the chunk's place in its book from 0, and n, the book's chunks."""
     own = Window.partitionBy("book_id")

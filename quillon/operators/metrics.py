@@ -144,3 +144,21 @@ def benchmark_aggregate(rows: DataFrame, columns: list[str]) -> DataFrame:
         value = F.when(finite(F.col(c)), F.col(c))
         stats += [F.avg(value).alias(f"{c}_mean"), F.percentile(value, F.lit(0.5)).alias(f"{c}_median")]
     return rows.agg(F.count("*").alias("n"), *stats)
+
+
+def preferred_score(calibrated: Column, mapped: Column) -> Column:
+    """The calibrated score where there is one, else the similarity mapped to 0 to 1."""
+    return F.coalesce(calibrated, mapped)
+
+
+def adversary_accuracy(rows: DataFrame, logits: tuple[str, str], labels: tuple[str, str]) -> DataFrame:
+    """acc_1, acc_2, mean_acc: how often the greatest logit (the first of equals) of each side is its topic; null without rows."""
+    hit = [F.avg((F.array_position(F.col(z), F.array_max(z)) - 1 == F.col(y)).cast("double")) for z, y in zip(logits, labels, strict=True)]
+    return rows.agg(hit[0].alias("acc_1"), hit[1].alias("acc_2")).withColumn("mean_acc", (F.col("acc_1") + F.col("acc_2")) / 2)
+
+
+def evaluation(scored: DataFrame, threshold: float, rule: float = 0.5) -> DataFrame:
+    """One row each for the plain rule and the calibrated threshold: rule, confusion, metrics, auc, ap."""
+    both = [classification(confusion(scored, t)).withColumn("rule", F.lit(name)) for name, t in (("argmax", rule), ("calibrated", threshold))]
+    ranking = roc_auc(scored).crossJoin(average_precision(scored))  # one row each
+    return both[0].unionByName(both[1]).crossJoin(F.broadcast(ranking))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators.ranking import ranked
+from quillon.operators.ranking import ordered_place, ranked
 
 KINDS = ("author_same", "embed_neighbor", "random")
 
@@ -26,14 +26,14 @@ def _draws(books: DataFrame, n: int) -> DataFrame:
 
 
 def _side(chunks: DataFrame, i: int) -> DataFrame:
-    return chunks.select(F.col("book_id").alias(f"book{i}"), F.col("pos").alias(f"pos{i}"), F.col("chunk").alias(f"text{i}"), F.col("author").alias(f"author{i}"))
+    topic = F.col("topic") if "topic" in chunks.columns else T.topic_id(F.col("chunk"))
+    return chunks.select(F.col("book_id").alias(f"book{i}"), F.col("pos").alias(f"pos{i}"), F.col("chunk").alias(f"text{i}"), F.col("author").alias(f"author{i}"), topic.alias(f"topic{i}"))
 
 
 def described(pairs: DataFrame) -> DataFrame:
-    """Adds topics, same_topic, same_author and pair_id to book1, pos1, text1, ... pairs."""
+    """Adds same_topic, same_author and pair_id to book1, pos1, text1, topic1, ... pairs."""
     known = ~T.is_anonymous(F.col("author1")) & ~T.is_anonymous(F.col("author2"))
-    out = pairs.withColumn("topic1", T.topic_id(F.col("text1"))).withColumn("topic2", T.topic_id(F.col("text2")))
-    out = out.withColumn("same_topic", F.col("topic1") == F.col("topic2")).withColumn("same_author", known & (F.col("author1") == F.col("author2")))
+    out = pairs.withColumn("same_topic", F.col("topic1") == F.col("topic2")).withColumn("same_author", known & (F.col("author1") == F.col("author2")))
     return out.withColumn("pair_id", F.md5(F.concat_ws("|", "book1", F.col("pos1").cast("string"), "book2", F.col("pos2").cast("string"), F.coalesce("neg_type", F.lit("positive")), F.col("k").cast("string"))))
 
 
@@ -67,8 +67,7 @@ def negatives(chunks: DataFrame, edges: DataFrame | None = None, per_book: int =
     ``author_same`` partners. A book without any partner gives no rows.
     """
     books = chunks.where(F.col("pos") == 0).select("book_id", "author", "split", "n")
-    by_split = books.withColumn("at", F.row_number().over(Window.partitionBy("split").orderBy("book_id")) - 1)
-    by_split = by_split.join(F.broadcast(by_split.groupBy("split").agg(F.count("*").alias("n_split"))), "split")
+    by_split = ordered_place(books, "split", "book_id", "at").withColumnRenamed("_n", "n_split")
     named = books.where(~T.is_anonymous(F.col("author")))
     own = Window.partitionBy("author", "split")
     by_author = named.select("author", "split", "book_id", (F.row_number().over(own.orderBy("book_id")) - 1).alias("at_author"), F.count("*").over(own).alias("n_author"))
@@ -138,14 +137,59 @@ def balanced(pairs: DataFrame, per_class: int = 5000, hard: tuple[str, ...] = ("
     return pos.drop("_g", "_r").unionByName(chosen.drop("_g", "_r", "_times", "_copy", "_target", "_same", "_diff"))
 
 
+def mixed_positives(chunks: DataFrame, per_author: int = 5) -> DataFrame:
+    """Two documents of one author of a domain, a chunk of each; authors with one document, domains with one author give nothing.
+
+    chunks: domain, author, doc, pos, chunk, and topic if documents have one (empty: the chunk's own).
+    """
+    given = F.coalesce(F.nullif(F.col("topic"), F.lit("")), T.topic_name(F.col("chunk"))) if "topic" in chunks.columns else T.topic_name(F.col("chunk"))
+    docs = chunks.groupBy("domain", "author", "doc").agg(F.count("*").alias("size"))
+    own = Window.partitionBy("domain", "author")
+    docs = docs.withColumn("d", F.row_number().over(own.orderBy("doc")) - 1).withColumn("n_docs", F.count("*").over(own))
+    several = docs.select("domain", "author").distinct().groupBy("domain").agg(F.count("*").alias("_a")).where("_a > 1").select("domain")
+    drawn = _draws(docs.where("d = 0 and n_docs > 1").join(several, "domain", "left_semi").select("domain", "author", "n_docs"), per_author)
+    keys = ("domain", "author", "k")
+    drawn = drawn.withColumn("d1", F.pmod(T.hash32(F.lit("doc1"), *keys), F.col("n_docs")))
+    drawn = drawn.withColumn("d2", F.pmod(F.col("d1") + 1 + F.pmod(T.hash32(F.lit("doc2"), *keys), F.col("n_docs") - 1), F.col("n_docs")))
+    placed = chunks.select("domain", "author", "doc", "pos", given.alias("topic")).withColumn("at", F.row_number().over(Window.partitionBy("domain", "author", "doc").orderBy("pos")) - 1)
+    for i in (1, 2):
+        side = docs.select("domain", "author", F.col("d").alias(f"d{i}"), F.col("doc").alias(f"doc{i}"), F.col("size").alias(f"_size{i}"))
+        drawn = drawn.join(side, ["domain", "author", f"d{i}"]).withColumn(f"_at{i}", F.pmod(T.hash32(F.lit(f"chunk{i}"), *keys), F.col(f"_size{i}")))
+        chosen = placed.select("domain", "author", F.col("doc").alias(f"doc{i}"), F.col("at").alias(f"_at{i}"), F.col("pos").alias(f"pos{i}"), F.col("topic").alias(f"topic{i}"))
+        drawn = drawn.join(chosen, ["domain", "author", f"doc{i}", f"_at{i}"])
+    return drawn.select("domain", F.col("author").alias("author1"), F.col("author").alias("author2"), "k", "doc1", "pos1", "topic1", "doc2", "pos2", "topic2", F.lit(1).alias("label"))
+
+
+def candidate_union(hard: DataFrame, medium: DataFrame, easy: DataFrame, by: str = "book_id", item: str = "other") -> DataFrame:
+    """by, item, tier, at: the candidates of each book, hard before medium before easy, each once, in order from 0."""
+    tiers = [t.select(by, item).withColumn("tier", F.lit(k)) for k, t in enumerate((hard, medium, easy))]
+    first = reduce(DataFrame.unionByName, tiers).where(F.col(by) != F.col(item)).groupBy(by, item).agg(F.min("tier").alias("tier"))
+    return ranked(first, [by], [F.col("tier"), F.col(item)], "at").withColumn("at", F.col("at") - 1)
+
+
+def mining_trials(candidates: DataFrame, chunks: DataFrame, most: int = 200, by: str = "book_id", item: str = "other") -> DataFrame:
+    """Chunk pairs to be scored: min(``most``, 5 x candidates) draws a book of a candidate and a chunk of each.
+
+    candidates: by, item, at; chunks: book_id, pos, n. Each draw is by hash and joined by index.
+    """
+    sized = candidates.groupBy(by).agg(F.count("*").alias("n_candidates"))
+    drawn = sized.withColumn("trial", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), 5 * F.col("n_candidates")).cast("int"))))
+    drawn = drawn.withColumn("at", F.pmod(T.hash32(F.lit("candidate"), by, "trial"), F.col("n_candidates")))
+    drawn = drawn.join(candidates.select(by, "at", item), [by, "at"])
+    sizes = chunks.where("pos = 0").select("book_id", "n")
+    for i, book in ((1, by), (2, item)):
+        drawn = drawn.join(sizes.select(F.col("book_id").alias(book), F.col("n").alias(f"_n{i}")), book)
+        drawn = drawn.withColumn(f"pos{i}", F.pmod(T.hash32(F.lit(f"mine{i}"), by, "trial"), F.col(f"_n{i}").cast("bigint")).cast("int"))
+    return drawn.select(F.col(by).alias("book1"), "pos1", F.col(item).alias("book2"), "pos2", "trial")
+
+
 def mixed_negatives(chunks: DataFrame, per_author: int = 5, candidates: int = 6) -> DataFrame:
     """Two authors of one domain: for each draw the first of a few chunks of the other that shares the topic.
 
     chunks: domain, author, doc, pos, chunk. Domains with one author give nothing.
     """
-    topical = chunks.withColumn("topic", T.topic_name(F.col("chunk")))
     own = Window.partitionBy("domain", "author")
-    members = topical.withColumn("at", F.row_number().over(own.orderBy("doc", "pos")) - 1).withColumn("size", F.count("*").over(own))
+    members = chunks.withColumn("at", F.row_number().over(own.orderBy("doc", "pos")) - 1).withColumn("size", F.count("*").over(own))
     authors = members.where("at = 0").select("domain", "author", "size")
     authors = authors.withColumn("a", F.row_number().over(Window.partitionBy("domain").orderBy("author")) - 1).withColumn("n_authors", F.count("*").over(Window.partitionBy("domain")))
     drawn = _draws(authors.where("n_authors > 1"), per_author)
@@ -153,13 +197,14 @@ def mixed_negatives(chunks: DataFrame, per_author: int = 5, candidates: int = 6)
     drawn = drawn.withColumn("_a", F.when(draw < F.col("a"), draw).otherwise(draw + 1))
     drawn = drawn.join(authors.select("domain", F.col("a").alias("_a"), F.col("author").alias("author2"), F.col("size").alias("size2")), ["domain", "_a"])
     drawn = drawn.withColumn("at1", F.pmod(T.hash32(F.lit("own"), "domain", "author", "k"), F.col("size")))
-    first = members.select("domain", "author", F.col("at").alias("at1"), F.col("doc").alias("doc1"), F.col("pos").alias("pos1"), F.col("topic").alias("topic1"))
-    drawn = drawn.join(first, ["domain", "author", "at1"])
+    topic = T.topic_name(F.col("chunk"))  # only of what is drawn
+    first = members.select("domain", "author", F.col("at").alias("at1"), F.col("doc").alias("doc1"), F.col("pos").alias("pos1"), F.col("chunk").alias("_one"))
+    drawn = drawn.join(first, ["domain", "author", "at1"]).withColumn("topic1", T.topic_name(F.col("_one"))).drop("_one")
     drawn = drawn.withColumn("c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(candidates), F.col("size2")) - 1)))
     start = T.hash32(F.lit("theirs"), "domain", "author", "k")
     drawn = drawn.withColumn("at2", F.pmod(start + F.col("c"), F.col("size2")))
-    second = members.select("domain", F.col("author").alias("author2"), F.col("at").alias("at2"), F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), F.col("topic").alias("topic2"))
-    scored = drawn.join(second, ["domain", "author2", "at2"]).withColumn("match", ((F.col("topic1") == F.col("topic2")) & (F.col("topic1") != "")).cast("int"))
+    second = members.select("domain", F.col("author").alias("author2"), F.col("at").alias("at2"), F.col("doc").alias("doc2"), F.col("pos").alias("pos2"), "chunk")
+    scored = drawn.join(second, ["domain", "author2", "at2"]).withColumn("topic2", topic).drop("chunk").withColumn("match", ((F.col("topic1") == F.col("topic2")) & (F.col("topic1") != "")).cast("int"))
     best = ranked(scored, ["domain", "author", "k"], [F.desc("match"), F.col("c")]).where("rank = 1")
     return best.select("domain", F.col("author").alias("author1"), "author2", "k", "doc1", "pos1", "topic1", "doc2", "pos2", "topic2", F.lit(0).alias("label"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.sources.staging import staged
+
 DIGITS = 3
 
 
@@ -21,6 +23,21 @@ def global_rank(df: DataFrame, digest: Column, key: Column, name: str = "rank")
     return rows.withColumn("_place", place).join(F.broadcast(offsets), "_bucket").withColumn(name, F.col("_offset") + F.col("_place")).drop("_digest", "_bucket", "_offset", "_place")
 
 
+def ordered_place(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """Adds the place (from 0) of each row in its group ``by`` in the order of ``order`` (unique), and ``_n``, the group's rows.
+
+    Rows are sorted by ranges of both, so a group of any size is spread over tasks; places follow from each task's counts.
+    """
+    pid = F.spark_partition_id()
+    placed = df.repartitionByRange(by, order).sortWithinPartitions(by, order).select("*", pid.alias("_part"), (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_pos"))
+    placed = staged(placed, "places")
+    counts = placed.groupBy(by, "_part").agg(F.count("*").alias("_rows"), F.min("_pos").alias("_first"))  # a row a task and group
+    own = Window.partitionBy(by)
+    before = F.coalesce(F.sum("_rows").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(by, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(own).alias("_n"))
+    return placed.join(counts, [by, "_part"]).withColumn(name, F.col("_pos") + F.col("_shift")).drop("_part", "_pos", "_shift")
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Adds the place (from 1) of each row in its group."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

@@ -110,9 +110,9 @@ def language_filter(spark, sf_dir):
     return headed(spark, sf_dir).select("doc_id", langs.alias("l")).select("doc_id", F.array_join("l", ",").alias("languages"), N.english_only(F.col("l")).alias("kept"))
 
 
-@query("SELECT doc_id, 'Book ' || doc_id AS title, 'Writer ' || doc_id % 7 AS author FROM documents WHERE doc_id % 4 <> 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 'Book ' || doc_id END AS title, CASE WHEN doc_id % 4 <> 0 THEN 'Writer ' || doc_id % 7 END AS author FROM documents")
 def title_author(spark, sf_dir):
-    rows = headed(spark, sf_dir).where("doc_id % 4 <> 0")
+    rows = headed(spark, sf_dir)
     return rows.select("doc_id", N.head_field(F.col("text"), "Title").alias("title"), N.head_field(F.col("text"), "Author").alias("author"))
 
 
@@ -131,13 +131,13 @@ def url_worklist(spark, sf_dir):
 
 
 SUFFIXES = ["-0.txt", ".txt.utf-8", "-utf8.txt", "-8.txt", ".txt", ".zip"]
-FILES = "(SELECT 'pg' || (doc_id % 97) || ['-0.txt', '.txt.utf-8', '-utf8.txt', '-8.txt', '.txt', '.zip'][(doc_id % 6) + 1] AS name, lpad(doc_id::varchar, 8, '0') AS path FROM documents WHERE doc_id % 6 <> 0 OR doc_id % 5 = 0)"
+FILES = "(SELECT 'pg' || (doc_id % 97) || ['-0.txt', '.txt.utf-8', '-utf8.txt', '-8.txt', '.txt', '.zip'][(doc_id % 6) + 1] AS name, lpad(doc_id::varchar, 8, '0') AS path FROM documents)"
 
 
 def files(spark, sf_dir):
     n = F.col("doc_id")
     name = F.concat(F.lit("pg"), (n % 97).cast("string"), F.element_at(F.array(*map(F.lit, SUFFIXES)), (n % 6 + 1).cast("int")))
-    return documents(spark, sf_dir).where("doc_id % 6 <> 0 OR doc_id % 5 = 0").select(name.alias("name"), F.lpad(n.cast("string"), 8, "0").alias("path"))
+    return documents(spark, sf_dir).select(name.alias("name"), F.lpad(n.cast("string"), 8, "0").alias("path"))
 
 
 @query(f"SELECT number, path, score FROM (SELECT regexp_extract(name, '(\\d+)', 1) AS number, path, (CASE WHEN name LIKE '%-0.txt' THEN 400 WHEN name LIKE '%.txt.utf-8' OR name LIKE '%-utf8.txt' THEN 350 WHEN name LIKE '%-8.txt' THEN 300 WHEN name LIKE '%.txt' THEN 100 ELSE 0 END)::int AS score FROM {FILES}) QUALIFY row_number() OVER (PARTITION BY number ORDER BY score DESC, path) = 1")
@@ -162,3 +162,20 @@ def parsed_lists(spark, sf_dir):
     text = F.concat((F.col("doc_id") % 5).cast("string"), F.lit(", "), (F.col("doc_id") % 7).cast("string"), F.lit(","))
     items = T.parsed_list(text)
     return documents(spark, sf_dir).select("doc_id", (F.aggregate(items, F.lit(0.0), lambda a, x: a + x) / F.size(items)).alias("mean"))
+
+
+CLASHING = "'n' || doc_id % 40 || CASE WHEN doc_id % 3 = 0 THEN '_' || (doc_id % 4 + 1) ELSE '' END"
+
+
+@query(f"""WITH rows AS (SELECT doc_id, {CLASHING} AS stem FROM documents), taken AS (SELECT DISTINCT 'n' || doc_id % 40 || CASE WHEN doc_id % 2 = 0 THEN '_7' ELSE '' END AS stem FROM documents WHERE doc_id % 5 = 0),
+used AS (SELECT stem FROM rows UNION SELECT stem FROM taken),
+nums AS (SELECT regexp_extract(stem, '^(.*)_([1-9][0-9]*)$', 1) AS stem, list_sort(list(regexp_extract(stem, '^(.*)_([1-9][0-9]*)$', 2)::int)) AS u FROM used WHERE regexp_matches(stem, '_[1-9][0-9]*$') GROUP BY 1),
+uses AS (SELECT doc_id, stem, row_number() OVER (PARTITION BY stem ORDER BY doc_id) - 1 + (stem IN (SELECT stem FROM taken))::int AS r FROM rows)
+SELECT doc_id, stem || CASE WHEN r = 0 THEN '' ELSE '_' || (r + coalesce(len(list_filter(list_transform(u, lambda x, i: x - i), lambda f: f < r)), 0)) END || '.txt' AS name FROM uses LEFT JOIN nums USING (stem)""")
+def unique_names(spark, sf_dir):
+    """Names of which many are equal, and others are what numbering would make."""
+    n = F.col("doc_id")
+    stem = F.concat(F.lit("n"), (n % 40).cast("string"))
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(stem, F.when(n % 3 == 0, F.concat(F.lit("_"), (n % 4 + 1).cast("string"))).otherwise(""), F.lit(".txt")).alias("name"))
+    taken = documents(spark, sf_dir).where("doc_id % 5 = 0").select(F.concat(stem, F.when(n % 2 == 0, "_7").otherwise(""), F.lit(".txt")).alias("name"))
+    return G.unique_names(rows, "name", "doc_id", taken).select("doc_id", F.col("unique").alias("name"))

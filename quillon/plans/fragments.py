@@ -68,7 +68,7 @@ def score(c: str) -> str:
 
 
 BOOKS = "books AS (SELECT source || '/' || lpad(doc_id::varchar, 8, '0') AS book_id, source AS author, doc_id, lang, text FROM documents)"
-SENTENCES = f"norm AS (SELECT book_id, author, doc_id, {collapsed('text')} AS t FROM books), sents AS (SELECT book_id, author, doc_id, {sentences('t')} AS s FROM norm)"
+SENTENCES = f"norm AS (SELECT book_id, author, doc_id, {collapsed('nfc_normalize(text)')} AS t FROM books), sents AS (SELECT book_id, author, doc_id, {sentences('t')} AS s FROM norm)"
 WINDOWS = "wins AS (SELECT book_id, author, doc_id, (i // 10)::int AS idx, trim(array_to_string(s[i + 1:i + 14], ' ')) AS chunk FROM (SELECT *, unnest(range(0, len(s), 10)) AS i FROM sents))"
 CHUNKS = f"{BOOKS}, {SENTENCES}, {WINDOWS}, chunks AS (SELECT * FROM wins WHERE length(chunk) >= 200 AND {english('chunk')})"
 PRINTS = f"{CHUNKS}, prints AS (SELECT *, {fingerprint('chunk')} AS fp FROM chunks)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions import vectors as V
 from quillon.operators import calibration as K
+from quillon.operators import losses as L
 from quillon.operators import metrics as M
 from quillon.plans import fragments as Q
 from quillon.sources.tables import table
@@ -201,3 +202,76 @@ def cv_select(spark, sf_dir):
 @query(f"SELECT doc_id, {Q.score('text')} AS score FROM documents")
 def default_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", K.style_score(T.style_features(F.col("text"))).alias("score"))
+
+
+@query(f"WITH {Q.SCORED} SELECT id, round(CASE WHEN id % 3 = 0 THEN score / 2 ELSE score END, 6) AS score FROM scored")
+def preferred_score(spark, sf_dir):
+    """Every third document has a calibrated score, half the plain one."""
+    calibrated = F.when(F.col("id") % 3 == 0, F.col("score") / 2)
+    return scored(spark, sf_dir).select("id", F.round(M.preferred_score(calibrated, F.col("score")), 6).alias("score"))
+
+
+TOPIC_LOGITS = "SELECT vec_id, list_transform(embedding[1:10], lambda x: round(x::double, 5)) AS z1, list_transform(embedding[11:20], lambda x: round(x::double, 5)) AS z2, label::int AS y1, ((label + vec_id) % 10)::int AS y2 FROM embeddings"
+
+
+def topic_logits(spark, sf_dir):
+    part = lambda a: F.transform(F.slice("embedding", a, 10), lambda x: F.round(x.cast("double"), 5))
+    return table(spark, sf_dir, "embeddings").select("vec_id", part(1).alias("z1"), part(11).alias("z2"), F.col("label").cast("int").alias("y1"), ((F.col("label") + F.col("vec_id")) % 10).cast("int").alias("y2"))
+
+
+@query(f"WITH t AS ({TOPIC_LOGITS}), a AS (SELECT avg((list_position(z1, list_max(z1)) - 1 = y1)::int::double) AS acc_1, avg((list_position(z2, list_max(z2)) - 1 = y2)::int::double) AS acc_2 FROM t) SELECT round(acc_1, 6) AS acc_1, round(acc_2, 6) AS acc_2, round((acc_1 + acc_2) / 2, 6) AS mean_acc FROM a")
+def topic_adversary(spark, sf_dir):
+    return rounded(M.adversary_accuracy(topic_logits(spark, sf_dir), ("z1", "z2"), ("y1", "y2")))
+
+
+def softmax_sql(z: str, t: str = "1") -> str:
+    return f"list_transform({z}, lambda x: exp((x - list_max({z})) / {t}) / list_sum(list_transform({z}, lambda y: exp((y - list_max({z})) / {t}))))"
+
+
+@query(f"WITH t AS ({TOPIC_LOGITS}), p AS (SELECT *, {softmax_sql('z1')} AS p1, {softmax_sql('z1', '2.0::double')} AS s, {softmax_sql('z2', '2.0::double')} AS q FROM t) SELECT vec_id, round(-ln(p1[y1 + 1]), 6) AS ce, round(4 * list_sum(list_transform(list_zip(q, s), lambda x: x[1] * ln(x[1] / x[2]))), 6) AS distilled FROM p")
+def loss_terms(spark, sf_dir):
+    z = topic_logits(spark, sf_dir)
+    return z.select("vec_id", F.round(V.cross_entropy(F.col("z1"), F.col("y1")), 6).alias("ce"), F.round(V.distillation_loss(F.col("z1"), F.col("z2")), 6).alias("distilled"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda x: x::double) AS x, [list_transform(embedding[9:16], lambda x: x::double), list_transform(embedding[17:24], lambda x: x::double), list_transform(embedding[25:32], lambda x: x::double)] AS w, vec_id % 3 AS y FROM embeddings),
+c AS (SELECT vec_id, y, list_transform(w, lambda u: list_inner_product(x, u) / (sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(u, u)))) AS c FROM v)
+SELECT vec_id, round(30 * c[1], 5) AS plain, round(30 * CASE WHEN c[y + 1] > cos(pi() - 0.2::double) THEN c[y + 1] * cos(0.2::double) - sqrt(1 - c[y + 1] * c[y + 1]) * sin(0.2::double) ELSE c[y + 1] - sin(pi() - 0.2::double) * 0.2::double END, 5) AS at_label FROM c""")
+def margin_logits(spark, sf_dir):
+    part = lambda a: V.doubles(F.slice("embedding", a, 8))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", part(1).alias("x"), F.array(part(9), part(17), part(25)).alias("w"), (F.col("vec_id") % 3).cast("int").alias("y"))
+    plain, turned = V.margin_logits(F.col("x"), F.col("w")), V.margin_logits(F.col("x"), F.col("w"), F.col("y"))
+    return rows.select("vec_id", F.round(plain[0], 5).alias("plain"), F.round(F.element_at(turned, F.col("y") + 1), 5).alias("at_label"))
+
+
+@query("""WITH v AS (SELECT vec_id, vec_id // 32 AS batch, vec_id % 2 AS label, list_transform(embedding[1:32], lambda x: x::double) AS a0, list_transform(embedding[33:64], lambda x: x::double) AS b0 FROM embeddings),
+u AS (SELECT vec_id, batch, label, list_transform(a0, lambda x: x / sqrt(list_inner_product(a0, a0))) AS a, list_transform(b0, lambda x: x / sqrt(list_inner_product(b0, b0))) AS b FROM v),
+s AS (SELECT p.batch, p.vec_id AS i, q.vec_id AS j, list_inner_product(p.a, q.b) / 0.07::double AS s1, list_inner_product(p.b, q.a) / 0.07::double AS s2 FROM u p JOIN u q ON p.batch = q.batch WHERE p.label = 1),
+l AS (SELECT batch, i, ln(sum(exp(s1))) - max(CASE WHEN i = j THEN s1 END) AS l1, ln(sum(exp(s2))) - max(CASE WHEN i = j THEN s2 END) AS l2 FROM s GROUP BY batch, i),
+n AS (SELECT batch, count(*) FILTER (label = 1) AS n_pos FROM v GROUP BY batch)
+SELECT n.batch, n_pos, round(coalesce(loss, 0), 6) AS loss FROM n LEFT JOIN (SELECT batch, avg((l1 + l2) / 2) AS loss FROM l GROUP BY batch) USING (batch)""")
+def info_nce(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    rows = e.select(F.floor(F.col("vec_id") / 32).alias("batch"), F.col("vec_id").alias("i"), F.slice("embedding", 1, 32).alias("vec1"), F.slice("embedding", 33, 32).alias("vec2"), (F.col("vec_id") % 2).alias("label"))
+    return rounded(L.info_nce(rows))
+
+
+EVALUATED = metric_sql("c", "rule,")
+
+
+@query(f"""WITH {Q.SCORED}, c AS (SELECT rule, count(*) FILTER (label = 1 AND score >= t) AS tp, count(*) FILTER (label = 0 AND score >= t) AS fp, count(*) FILTER (label = 1 AND score < t) AS fn, count(*) FILTER (label = 0 AND score < t) AS tn FROM scored, (VALUES ('argmax', 0.5::double), ('calibrated', 0.6::double)) v(rule, t) GROUP BY rule),
+g AS (SELECT score, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM scored GROUP BY score),
+r AS (SELECT *, coalesce(sum(p) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pp, sum(p) OVER (ORDER BY score DESC) AS cp, sum(n) OVER (ORDER BY score DESC) AS cn FROM g)
+SELECT m.*, (SELECT round((sum(n * (pp + p / 2.0::double)) / (sum(p) * sum(n)))::double, 6) FROM r) AS auc, (SELECT round((sum(p * cp::double / (cp + cn)) / sum(p))::double, 6) FROM r) AS ap FROM ({EVALUATED}) m""")
+def evaluation(spark, sf_dir):
+    return rounded(M.evaluation(scored(spark, sf_dir), 0.6))
+
+
+@query(f"""WITH w AS (SELECT doc_id, list_transform({Q.words('text')}, lambda x: length(x) * 9000) AS ids FROM documents)
+SELECT doc_id, round(coalesce(len(list_distinct(ids[1:64]))::double / nullif(len(ids[1:64]), 0), 0), 6) AS type_token_ratio, round(coalesce(len(list_filter(ids, lambda x: x > 50000))::double / nullif(len(ids[1:64]), 0), 0), 6) AS punct_ratio, round(len(ids[1:64]) / 4.0::double, 6) AS avg_length FROM w""")
+def token_style(spark, sf_dir):
+    """Word lengths stand for token ids; the mask holds the first 64."""
+    ids = F.transform(T.words(F.col("text")), lambda w: F.length(w) * 9000)
+    rows = table(spark, sf_dir, "documents").select("doc_id", ids.alias("ids"))
+    f = T.token_style_features(F.col("ids"), F.transform("ids", lambda x, i: (i < 64).cast("int")), 4)
+    return rows.select("doc_id", f.alias("f")).select("doc_id", *[F.round(F.col("f")[c].cast("double"), 6).alias(c) for c in ("type_token_ratio", "punct_ratio", "avg_length")])

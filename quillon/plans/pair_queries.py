@@ -10,6 +10,7 @@ from quillon.operators import chunks as C
 from quillon.operators import pairs as P
 from quillon.plans import fragments as Q
 from quillon.plans.text_queries import chunks, documents, positioned
+from quillon.sources.staging import staged
 from quillon.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -195,3 +196,40 @@ def retry_policy(spark, sf_dir):
 @query(f"WITH {Q.CHUNKS} SELECT doc_id, idx, ({Q.topic_id('chunk')})::int AS topic FROM chunks")
 def chunk_topics(spark, sf_dir):
     return chunks(spark, sf_dir).select("doc_id", "idx", T.topic_id(F.col("chunk")).alias("topic"))
+
+
+@query(f"""WITH {Q.CHUNKS}, m AS (SELECT d.lang AS domain, c.author, c.book_id AS doc, c.idx AS pos, {Q.topic_name('chunk')} AS topic FROM chunks c JOIN documents d USING (doc_id)),
+pl AS (SELECT *, row_number() OVER (PARTITION BY domain, author, doc ORDER BY pos) - 1 AS pat FROM m),
+ds AS (SELECT *, row_number() OVER (PARTITION BY domain, author ORDER BY doc) - 1 AS d, count(*) OVER (PARTITION BY domain, author) AS nd FROM (SELECT domain, author, doc, count(*) AS size FROM m GROUP BY domain, author, doc)),
+k AS (SELECT domain, author, nd, unnest(range(1, 6))::int AS k FROM ds WHERE d = 0 AND nd > 1 AND domain IN (SELECT domain FROM ds GROUP BY domain HAVING count(DISTINCT author) > 1)),
+a AS (SELECT *, {Q.h32("'doc1'", 'domain', 'author', 'k')} % nd AS d1 FROM k), b AS (SELECT *, (d1 + 1 + {Q.h32("'doc2'", 'domain', 'author', 'k')} % (nd - 1)) % nd AS d2 FROM a)
+SELECT b.domain, b.author AS author1, b.author AS author2, b.k, x.doc AS doc1, p.pos AS pos1, p.topic AS topic1, y.doc AS doc2, q.pos AS pos2, q.topic AS topic2, 1 AS label FROM b
+JOIN ds x ON x.domain = b.domain AND x.author = b.author AND x.d = b.d1 JOIN ds y ON y.domain = b.domain AND y.author = b.author AND y.d = b.d2
+JOIN pl p ON p.domain = b.domain AND p.author = b.author AND p.doc = x.doc AND p.pat = {Q.h32("'chunk1'", 'b.domain', 'b.author', 'k')} % x.size
+JOIN pl q ON q.domain = b.domain AND q.author = b.author AND q.doc = y.doc AND q.pat = {Q.h32("'chunk2'", 'b.domain', 'b.author', 'k')} % y.size""")
+def mixed_pairs_same_author(spark, sf_dir):
+    rows = chunks(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", F.col("lang").alias("domain")), "doc_id")
+    return P.mixed_positives(staged(rows.select("domain", "author", F.col("book_id").alias("doc"), F.col("idx").alias("pos"), "chunk"), "mixed-chunks"))
+
+
+TIERS = """t AS (SELECT doc_id AS book_id, doc_id + 20 AS other, 0 AS tier FROM documents UNION ALL SELECT doc_id, doc_id + (doc_id % 3) * 10, 1 FROM documents UNION ALL SELECT doc_id, doc_id % 7, 2 FROM documents),
+c AS (SELECT book_id, other, min(tier) AS tier FROM t WHERE book_id <> other GROUP BY book_id, other), u AS (SELECT *, (row_number() OVER (PARTITION BY book_id ORDER BY tier, other) - 1)::int AS place FROM c)"""
+
+
+def tiered(spark, sf_dir):
+    n = F.col("doc_id")
+    tiers = [documents(spark, sf_dir).select(n.alias("book_id"), other.alias("other")) for other in (n + 20, n + (n % 3) * 10, n % 7)]
+    return P.candidate_union(*tiers)
+
+
+@query(f"WITH {TIERS} SELECT book_id, other, tier::int AS tier, place FROM u")
+def candidate_order(spark, sf_dir):
+    return tiered(spark, sf_dir).withColumnRenamed("at", "place")
+
+
+@query(f"""WITH {TIERS}, s AS (SELECT book_id, count(*) AS nc FROM u GROUP BY book_id), n AS (SELECT doc_id AS book_id, doc_id % 9 + 1 AS n FROM documents),
+d AS (SELECT *, unnest(range(1, least(200, 5 * nc) + 1))::int AS trial FROM s), e AS (SELECT d.book_id, trial, other FROM d JOIN u ON u.book_id = d.book_id AND u.place = {Q.h32("'candidate'", 'd.book_id', 'trial')} % nc)
+SELECT e.book_id AS book1, ({Q.h32("'mine1'", 'e.book_id', 'trial')} % a.n)::int AS pos1, other AS book2, ({Q.h32("'mine2'", 'e.book_id', 'trial')} % b.n)::int AS pos2, trial FROM e JOIN n a ON a.book_id = e.book_id JOIN n b ON b.book_id = e.other""")
+def mining_trials(spark, sf_dir):
+    books = documents(spark, sf_dir).select(F.col("doc_id").alias("book_id"), F.lit(0).alias("pos"), (F.col("doc_id") % 9 + 1).alias("n"))
+    return P.mining_trials(tiered(spark, sf_dir), books)

@@ -10,6 +10,7 @@ from quillon.operators import chunks as C
 from quillon.operators import cleaning
 from quillon.operators.ranking import ranked
 from quillon.plans import fragments as Q
+from quillon.sources.staging import staged
 from quillon.sources.tables import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -38,10 +39,10 @@ def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deduplicated chunks with split, position and count; kept (and spilt to disk), as pairs read them several times."""
-    rows = C.positioned(dedup(spark, sf_dir)).persist()
+    """Deduplicated chunks with split, position, count and topic; written, as pairs read them several times."""
+    rows = staged(C.positioned(dedup(spark, sf_dir)).withColumn("topic", T.topic_id(F.col("chunk"))), "positioned")
     books = C.split_books(rows.where("pos = 0").select("book_id"))
-    return rows.join(books, "book_id").persist()
+    return rows.join(staged(books, "splits"), "book_id")
 
 
 @query(f"WITH {Q.BOOKS}, {Q.SENTENCES} SELECT doc_id, len(s)::int AS n_sentences, md5(array_to_string(s, '|')) AS digest FROM sents")
@@ -80,7 +81,7 @@ def book_cap(spark, sf_dir):
 
 @query(f"WITH {Q.DEDUP}, {Q.SPLITS} SELECT book_id, split FROM splits")
 def book_split(spark, sf_dir):
-    return C.split_books(dedup(spark, sf_dir).select("book_id").distinct())
+    return C.split_books(staged(dedup(spark, sf_dir).select("book_id").distinct(), "books"))
 
 
 @query(f"WITH {Q.POSITIONED} SELECT split, count(DISTINCT book_id) AS books, count(*) AS chunks FROM pos GROUP BY split")
@@ -149,13 +150,13 @@ def footer_strip(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(cleaning.without_footer(text)).alias("digest"))
 
 
-@query(r"""WITH c AS (SELECT doc_id, text FROM documents WHERE doc_id % 3 = 0)
+@query(r"""WITH c AS (SELECT doc_id, text FROM documents)
 SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '\s+$', '')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), chr(10)) || chr(10)) AS digest FROM c""")
 def clean_wrapped(spark, sf_dir):
     """Texts wrapped in a header, a note and a footer come out as they were, tidied."""
     head = "Project header\n\n*** START OF THE PROJECT GUTENBERG EBOOK X ***\n"
     note = "\n\n[Transcriber's Note: this\ngoes]\n"
-    rows = documents(spark, sf_dir).where("doc_id % 3 = 0")
+    rows = documents(spark, sf_dir)
     wrapped = rows.withColumn("text", F.concat(F.lit(head), "text", F.lit(note + FOOTER + "\nend")))
     return cleaning.cleaned(wrapped).select("doc_id", F.md5("text").alias("digest"))
 
@@ -174,3 +175,15 @@ def book_hash(spark, sf_dir):
 @query("SELECT doc_id, lang, n FROM (SELECT doc_id, lang, (row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id))::int AS n FROM documents) WHERE n <= 20")
 def seeded_subset(spark, sf_dir):
     return ranked(documents(spark, sf_dir).select("doc_id", "lang"), ["lang"], [F.md5(F.concat(F.lit("42|"), F.col("doc_id").cast("string"))), F.col("doc_id")], "n").where("n <= 20")
+
+
+@query(f"WITH {Q.CHUNKS} SELECT b.book_id, CASE WHEN b.text IS NULL THEN 'error' WHEN n > 0 THEN 'ok' ELSE 'empty' END AS status, coalesce(n, 0)::bigint AS n_chunks FROM books b LEFT JOIN (SELECT book_id, count(*) AS n FROM chunks GROUP BY book_id) USING (book_id)")
+def book_status(spark, sf_dir):
+    return C.statuses(C.as_books(documents(spark, sf_dir)))
+
+
+@query(f"""WITH {Q.BOOKS}, {Q.SENTENCES} SELECT doc_id, md5(array_to_string(s, '|')) AS digest FROM (SELECT book_id, author, doc_id, {Q.collapsed("nfc_normalize(replace(text, 'a', 'a' || chr(769)))")} AS t FROM books) x, LATERAL (SELECT {Q.sentences('x.t')} AS s)""")
+def composed_sentences(spark, sf_dir):
+    """Sentences of texts whose every a carries a combining accent."""
+    rows = documents(spark, sf_dir).select("doc_id", F.replace("text", F.lit("a"), F.lit("a\u0301")).alias("text"))
+    return cleaning.composed(rows).select("doc_id", F.md5(F.array_join(T.sentences(T.collapsed(F.col("text"))), "|")).alias("digest"))

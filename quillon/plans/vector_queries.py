@@ -122,11 +122,11 @@ def mined_negatives(spark, sf_dir):
     return P.mined(c, least_similarity=0.1, per_book=5).select("book1", "anchor", "item")
 
 
-SIDES = "sides AS (SELECT book // 2 AS pair_id, book % 2 + 1 AS side, id AS idx, u FROM units WHERE id < 200), cs AS (SELECT a.pair_id, a.idx AS i, b.idx AS j, round(list_inner_product(a.u, b.u), 6) AS cos FROM sides a JOIN sides b USING (pair_id) WHERE a.side = 1 AND b.side = 2)"
+SIDES = "sides AS (SELECT book // 2 AS pair_id, book % 2 + 1 AS side, id AS idx, u FROM units), cs AS (SELECT a.pair_id, a.idx AS i, b.idx AS j, round(list_inner_product(a.u, b.u), 6) AS cos FROM sides a JOIN sides b USING (pair_id) WHERE a.side = 1 AND b.side = 2)"
 
 
 def sides(spark, sf_dir):
-    return vectors(spark, sf_dir).where("id < 200").select(F.floor(F.col("book") / 2).alias("pair_id"), (F.col("book") % 2 + 1).alias("side"), "idx", "vec")
+    return vectors(spark, sf_dir).select(F.floor(F.col("book") / 2).alias("pair_id"), (F.col("book") % 2 + 1).alias("side"), "idx", "vec")
 
 
 @query(f"WITH {Q.VECS}, {UNITS}, {SIDES} SELECT pair_id::bigint AS pair_id, round(avg(cos), 5) AS sim, count(*) AS n FROM cs GROUP BY pair_id")
@@ -149,12 +149,12 @@ def prune_quantile(spark, sf_dir):
     return N.quantile_pruned(N.outlier_scores(vectors(spark, sf_dir)), 0.05).select("id")
 
 
-HALF = f"""WITH {Q.VECS}, {UNITS}, few AS (SELECT * FROM units WHERE id < 150), low AS (SELECT id, vec[1:8] AS vec FROM few)"""
+HALF = f"""WITH {Q.VECS}, {UNITS}, few AS (SELECT * FROM units), low AS (SELECT id, vec[1:8] AS vec FROM few)"""
 DIST = "(-round(sqrt(greatest(list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 0)), 6))"
 
 
 def lowered(spark, sf_dir):
-    few = vectors(spark, sf_dir).where("id < 150").select("id", "vec")
+    few = vectors(spark, sf_dir).select("id", "vec")
     return few, few.select("id", F.slice("vec", 1, 8).alias("vec"))
 
 
@@ -172,12 +172,12 @@ def trustworthiness(spark, sf_dir):
     return N.trustworthiness(*lowered(spark, sf_dir)).select(F.round("trust", 6).alias("trust"))
 
 
-@query(f"""WITH {Q.VECS}, f AS (SELECT * FROM vecs WHERE id < 64), d AS (SELECT a.id AS i, b.id AS j, greatest(list_inner_product(a.vec, a.vec) + list_inner_product(b.vec, b.vec) - 2 * list_inner_product(a.vec, b.vec), 0) AS d2, (a.book = b.book)::int::double AS l FROM f a, f b),
+@query(f"""WITH {Q.VECS}, f AS (SELECT * FROM vecs), d AS (SELECT a.id AS i, b.id AS j, greatest(list_inner_product(a.vec, a.vec) + list_inner_product(b.vec, b.vec) - 2 * list_inner_product(a.vec, b.vec), 0) AS d2, (a.book = b.book)::int::double AS l FROM f a, f b),
 m AS (SELECT list_sort(list(d2))[(count(*) + 1) // 2] AS m FROM d WHERE i <> j AND d2 > 0), k AS (SELECT i, j, l, exp(-d2 / (2 * (m + 1e-6::double))) AS k FROM d, m),
 c AS (SELECT (k - avg(k) OVER (PARTITION BY i) - avg(k) OVER (PARTITION BY j) + avg(k) OVER ()) * (l - avg(l) OVER (PARTITION BY i) - avg(l) OVER (PARTITION BY j) + avg(l) OVER ()) AS x FROM k)
-SELECT round(sum(x) / (64.0::double * 64 + 1e-6::double), 7) AS hsic FROM c""")
+SELECT round(sum(x) / ((SELECT count(*)::double * count(*) FROM f) + 1e-6::double), 7) AS hsic FROM c""")
 def rbf_hsic(spark, sf_dir):
-    rows = vectors(spark, sf_dir).where("id < 64").select("id", "vec", F.col("book").alias("label"))
+    rows = vectors(spark, sf_dir).select("id", "vec", F.col("book").alias("label"))
     return N.kernel_dependence(rows).select(F.round("hsic", 7).alias("hsic"))
 
 

@@ -52,3 +52,12 @@ def reference_json(percentiles: DataFrame) -> DataFrame:
 
 def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
+
+
+def write_cleaned(books: DataFrame, path: str, mode: str = "error") -> DataFrame:
+    """A mirror of cleaned texts (author, title, text), one folder an author; gives author, title and both lengths."""
+    from quillon.operators.cleaning import cleaned
+
+    rows = cleaned(books.select("author", "title", "text", F.length("text").alias("n_before"))).withColumn("n_after", F.length("text"))
+    rows.write.mode(mode).partitionBy("author").parquet(path)
+    return rows.sparkSession.read.parquet(path).select("author", "title", "n_before", "n_after")
