@@ -1,8 +1,9 @@
 """Nearest neighbours, pooling, outliers and layout scores over vectors.
 
 Exact top-k search sends the queries to the items in blocks of a fixed size: each task multiplies its items with
-the block and keeps k items a query, a window merges the tasks' lists. No task holds more than one block of
-queries and one Arrow batch of items, and no pair table is ever made.
+the block, some queries and items at a time, and keeps k items a query; a window merges the tasks' lists. Of several
+blocks each is searched and its lists written before the next one is gathered, so that the driver holds one block, a
+task one block, one Arrow batch of items and ``CELLS`` scores. No pair table is ever made.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators.ranking import ranked
+from quillon.sources.staging import staged
 
 BLOCK_BYTES = 64 << 20  # of queries sent to the items at once
+CELLS = 1 << 22  # scores that a task works out at once
 DIGITS = 6  # similarities are rounded, so that ties do not hang on the order of sums
 
 
@@ -34,26 +37,31 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def _best(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int, metric: str) -> Iterator[pa.RecordBatch]:
     """The task's k best items of each query: (query, item, score); a greater score is nearer."""
-    best_score = np.full((len(ids), 0), -np.inf)
-    best_item = np.zeros((len(ids), 0), np.int64)
+    best_score = np.full((len(ids), k), -np.inf)
+    best_item = np.zeros((len(ids), k), np.int64)
+    queries = _unit(queries) if metric == "cosine" else queries
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        items, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-        if metric == "cosine":
-            score = _unit(queries) @ _unit(x).T
-        else:
-            score = -np.sqrt(np.maximum((queries**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * queries @ x.T, 0))
-        score = np.round(score, DIGITS)
-        score[ids[:, None] == items[None]] = -np.inf  # not oneself
-        score = np.concatenate([best_score, score], 1)
-        item = np.concatenate([best_item, np.broadcast_to(items, (len(ids), len(items)))], 1)
-        by = np.lexsort((item, -score), axis=1)[:, :k]
-        best_score, best_item = np.take_along_axis(score, by, 1), np.take_along_axis(item, by, 1)
-    real = np.isfinite(best_score)
-    if real.any():
-        owner = np.broadcast_to(ids[:, None], best_score.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(owner[real]), pa.array(best_item[real]), pa.array(best_score[real])], names=["id", "neighbor_id", "score"])
+        wide = max(1, min(batch.num_rows, CELLS // 64))
+        for b in range(0, batch.num_rows, wide):
+            items, x = batch.column(0).to_numpy()[b : b + wide], _matrix(batch.column(1).slice(b, wide))
+            x = _unit(x) if metric == "cosine" else x
+            high = max(1, CELLS // (len(items) + k))
+            for a in range(0, len(ids), high):
+                own, q = ids[a : a + high], queries[a : a + high]
+                score = q @ x.T if metric == "cosine" else -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0))
+                score = np.round(score, DIGITS)
+                score[own[:, None] == items[None]] = -np.inf  # not oneself
+                score = np.concatenate([best_score[a : a + high], score], 1)
+                item = np.concatenate([best_item[a : a + high], np.broadcast_to(items, (len(own), len(items)))], 1)
+                by = np.lexsort((item, -score), axis=1)[:, :k]
+                best_score[a : a + high], best_item[a : a + high] = np.take_along_axis(score, by, 1), np.take_along_axis(item, by, 1)
+    step = max(1, CELLS // max(k, 1))
+    for a in range(0, len(ids), step):
+        real = np.isfinite(best_score[a : a + step])
+        if real.any():
+            owner = np.broadcast_to(ids[a : a + step, None], real.shape)
+            columns = (owner[real], best_item[a : a + step][real], best_score[a : a + step][real])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "neighbor_id", "score"])
 
 
 def top_k(items: DataFrame, k: int, queries: DataFrame | None = None, metric: str = "cosine") -> DataFrame:
@@ -72,9 +80,10 @@ def top_k(items: DataFrame, k: int, queries: DataFrame | None = None, metric: st
         block = queries.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == b).toArrow().combine_chunks()
         ids = block.column("id").to_numpy()
         x = _matrix(block.column("vec").combine_chunks()) if len(ids) else np.zeros((0, 1))
-        found.append(items.mapInArrow(lambda it, ids=ids, x=x: _best(it, ids, x, k, metric), "id long, neighbor_id long, score double"))
-    merged = reduce(DataFrame.union, found)
-    return ranked(merged, ["id"], [F.desc("score"), F.col("neighbor_id")]).where(F.col("rank") <= k)
+        part = items.mapInArrow(lambda it, ids=ids, x=x: _best(it, ids, x, k, metric), "id long, neighbor_id long, score double")
+        part = ranked(part, ["id"], [F.desc("score"), F.col("neighbor_id")]).where(F.col("rank") <= k)
+        found.append(part if n_blocks == 1 else staged(part, "nearest"))
+    return reduce(DataFrame.union, found)
 
 
 def mean_vector(df: DataFrame, by: list[str], vec: str = "vec") -> DataFrame:
@@ -138,12 +147,50 @@ def hit_rate(first: DataFrame, second: DataFrame, k: int = 15) -> DataFrame:
 
 
 def trustworthiness(first: DataFrame, second: DataFrame, k: int = 15) -> DataFrame:
-    """trust: 1 less the penalty for neighbours in ``second`` that are far down the ranks of ``first`` (euclidean)."""
+    """trust: 1 less the penalty for neighbours in ``second`` that are far down the ranks of ``first`` (euclidean).
+
+    A rank is the number of items that are nearer, counted by each task for the neighbours asked for; no list of all
+    ranks is made.
+    """
     n = first.count()
-    ranks = top_k(first, max(n - 1, 1), metric="euclidean").select("id", "neighbor_id", "rank")
-    near = top_k(second, k, metric="euclidean").select("id", "neighbor_id")
+    near = staged(top_k(second, k, metric="euclidean").select("id", "neighbor_id"), "layout-neighbors")
+    ranks = ranks_of(first, near)
     scale = 2.0 / (n * k * (2 * n - 3 * k - 1))
-    return near.join(ranks, ["id", "neighbor_id"]).agg((1 - F.lit(scale) * F.sum(F.greatest(F.col("rank") - k, F.lit(0)))).alias("trust"))
+    return ranks.agg((1 - F.lit(scale) * F.sum(F.greatest(F.col("rank") - k, F.lit(0)))).alias("trust"))
+
+
+def _nearer(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, others: np.ndarray, at: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """For each pair (ids, others) the number of this task's items that come before the other one: nearer, or as near by id."""
+    distance = lambda q, x: np.round(np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * q @ x.T, 0)), DIGITS)
+    reach = np.round(np.sqrt(np.maximum((queries**2).sum(1) + (at**2).sum(1) - 2 * (queries * at).sum(1), 0)), DIGITS)
+    total = np.zeros(len(ids), np.int64)
+    for batch in batches:
+        wide = max(1, min(batch.num_rows, CELLS // 64))
+        for b in range(0, batch.num_rows, wide):
+            items, x = batch.column(0).to_numpy()[b : b + wide], _matrix(batch.column(1).slice(b, wide))
+            high = max(1, CELLS // len(items))
+            for a in range(0, len(ids), high):
+                d, own = distance(queries[a : a + high], x), slice(a, a + high)
+                before = (d < reach[own, None]) | ((d == reach[own, None]) & (items[None] < others[own, None]))
+                total[own] += (before & (items[None] != ids[own, None])).sum(1)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others), pa.array(total)], names=["id", "neighbor_id", "n"])
+
+
+def ranks_of(items: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id, neighbor_id, rank (from 1, euclidean, ties by id) of each pair among all items other than ``id``."""
+    items = items.select(F.col("id").cast("long").alias("id"), V.doubles(F.col("vec")).alias("vec"))
+    both = pairs.join(items, "id").join(items.select(F.col("id").alias("neighbor_id"), F.col("vec").alias("other")), "neighbor_id")
+    both = staged(both.select("id", "neighbor_id", "vec", "other"), "ranked-pairs")
+    size = both.agg(F.count("*"), F.max(F.size("vec"))).first()
+    n_blocks, found = max(1, -(-int(size[0] or 0) * int(size[1] or 1) * 16 // BLOCK_BYTES)), []
+    for b in range(n_blocks):
+        block = both.where(F.pmod(F.xxhash64("id", "neighbor_id"), F.lit(n_blocks)) == b).toArrow().combine_chunks()
+        ids, others = (block.column(c).to_numpy() for c in ("id", "neighbor_id"))
+        q, at = (_matrix(block.column(c).combine_chunks()) if len(ids) else np.zeros((0, 1)) for c in ("vec", "other"))
+        part = items.mapInArrow(lambda it, ids=ids, q=q, others=others, at=at: _nearer(it, ids, q, others, at), "id long, neighbor_id long, n long")
+        part = part.groupBy("id", "neighbor_id").agg((F.sum("n") + 1).alias("rank"))
+        found.append(part if n_blocks == 1 else staged(part, "ranks"))
+    return reduce(DataFrame.union, found)
 
 
 def neighbor_candidates(chunks: DataFrame, edges: DataFrame, anchors: int = 40, pool: int = 20, least: float = 0.55, seed: str = "42") -> DataFrame:

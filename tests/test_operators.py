@@ -225,3 +225,61 @@ def test_fetch(spark):
     rows = [(1, 0, "gone"), (1, 1, "good"), (2, 0, "down"), (2, 1, "page"), (3, 0, "a"), (3, 1, "b")]
     got = {r.id: (r.url, r.text, r.tries) for r in fetched(spark.createDataFrame(rows, "id long, at int, url string"), get, wait=0.0).collect()}
     assert got == {1: ("good", "text of good", 2), 2: (None, None, 4), 3: ("a", "text of a", 1)}
+
+
+def test_unique_names_avoid_given_taken_and_made(spark):
+    def named(names, taken=()):
+        rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+        known = spark.createDataFrame([(t,) for t in taken], "name string")
+        return [r.unique for r in catalog.unique_names(rows, "name", "i", known).orderBy("i").collect()]
+
+    assert named(["a.txt", "a.txt", "a_1.txt"]) == ["a.txt", "a_2.txt", "a_1.txt"]
+    assert named(["a.txt"] * 4, ["a.txt", "a_2.txt", "a_1.txt"]) == ["a_3.txt", "a_4.txt", "a_5.txt", "a_6.txt"]
+    assert named(["a.txt", "a.txt", "a_1.txt", "a_1.txt", "a_1_1.txt"]) == ["a.txt", "a_2.txt", "a_1.txt", "a_1_2.txt", "a_1_1.txt"]
+    assert named([]) == []
+    many = ["x.txt"] * 30 + [f"x_{k}.txt" for k in range(1, 40, 3)] * 2
+    got = named(many, ["x_2.txt", "x_50.txt"])
+    assert len(set(got)) == len(got) and not {"x_2.txt", "x_50.txt"} & set(got)
+
+
+def test_titles_take_an_article_above_a_blank_line(spark):
+    docs = spark.createDataFrame([(1, "THE\n\nSILVER RIVER\nBy John Smith\n"), (2, "THE\nSILVER RIVER\nby John Smith\n"), (3, "x\n\nSILVER RIVER\nby John Smith")], "doc_id int, text string")
+    got = {r.doc_id: r.title for r in catalog.titles(docs).collect()}
+    assert got == {1: "THE SILVER RIVER", 2: "THE SILVER RIVER", 3: "SILVER RIVER"}
+
+
+def test_book_statuses(spark):
+    long = "This is a sentence of the book that has some words in it. " * 20
+    books = spark.createDataFrame([("a/1", "a", 1, long), ("a/2", "a", 2, "short"), ("a/3", "a", 3, None)], "book_id string, author string, doc_id int, text string")
+    assert {r.book_id: (r.status, r.n_chunks > 0) for r in chunks.statuses(books).collect()} == {"a/1": ("ok", True), "a/2": ("empty", False), "a/3": ("error", False)}
+
+
+def test_mirror_of_cleaned_texts(spark, tmp_path):
+    books = spark.createDataFrame([("A", "one", "text  \n\n\n\nmore"), ("B", "two", "\r\nx")], "author string, title string, text string")
+    report = {r.title: (r.author, r.n_before, r.n_after) for r in sinks.write_cleaned(books, f"{tmp_path}/m").collect()}
+    assert report == {"one": ("A", 14, 11), "two": ("B", 3, 2)}
+    assert {r.title: r.text for r in spark.read.parquet(f"{tmp_path}/m").collect()} == {"one": "text\n\nmore\n", "two": "x\n"}
+
+
+def test_neighbors_in_small_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.integers(-2, 3, (40, 3)).astype(float)
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>").repartition(3)
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), 6)
+    order = {i: sorted((j for j in range(40) if j != i), key=lambda j: (d[i, j], j)) for i in range(40)}
+    monkeypatch.setattr(neighbors, "BLOCK_BYTES", 300)
+    monkeypatch.setattr(neighbors, "CELLS", 50)
+    got = {}
+    for r in neighbors.top_k(items, 4, metric="euclidean").collect():
+        got.setdefault(r.id, {})[r["rank"]] = r.neighbor_id
+    assert {i: [v[k] for k in sorted(v)] for i, v in got.items()} == {i: o[:4] for i, o in order.items()}
+    pairs_ = spark.createDataFrame([(i, j) for i in range(0, 40, 7) for j in range(40) if i != j], "id long, neighbor_id long")
+    assert all(r["rank"] == order[r.id].index(r.neighbor_id) + 1 for r in neighbors.ranks_of(items, pairs_).collect())
+
+
+def test_ordered_places(spark):
+    rows = spark.createDataFrame([("train" if i % 10 < 7 else "test", f"b{i:04}") for i in range(300)], "split string, book string").repartition(7)
+    got = ranking.ordered_place(rows, "split", "book", "at").collect()
+    for split in ("train", "test"):
+        own = sorted(r.book for r in got if r.split == split)
+        assert {r.book: (r["at"], r["_n"]) for r in got if r.split == split} == {b: (i, len(own)) for i, b in enumerate(own)}
