@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillon.llm.textbatch import as_bytes, coded, slices
+from quillon.llm.textbatch import as_bytes, coded_words, freed, slices
 
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"  # fixed value
@@ -106,9 +106,7 @@ def judge(batches: Iterator[pa.RecordBatch], window: int, most_covered: float, m
     for piece in slices(batches):
         raw = as_bytes(piece.column(1))
         texts = [x.decode("utf-8", "replace") for x in raw]
-        split = [x.split() for x in raw]
-        n_words = np.array([len(x) for x in split], np.int64)
-        tokens, _ = coded([w for x in split for w in x])
+        tokens, _, n_words = coded_words(piece.column(1))
         docs = np.repeat(np.arange(len(raw)), n_words)
         length = repeats(tokens, docs, window)
         inside = covered(length, window)
@@ -137,4 +135,4 @@ def quality_rules(docs: DataFrame, window: int = 8, most_covered: float = 0.12,
     ``most_covered`` of its words, and no repeat of 50 or more words is longer than ``most_longest`` of its words.
     Both limits are stricter than the base rule, which allows repeats over 0.3 of the words.
     """
-    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lambda it: judge(it, window, most_covered, most_longest), SCHEMA)
+    return docs.select(docs[id_col], docs[text_col]).mapInArrow(lambda it: freed(judge(it, window, most_covered, most_longest)), SCHEMA)

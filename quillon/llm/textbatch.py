@@ -31,23 +31,6 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def words_of(column: pa.Array) -> tuple[list[bytes], np.ndarray]:
-    """All ASCII-whitespace separated words of the texts in order, and the number of words of each text."""
-    out: list[bytes] = []
-    counts = np.empty(len(column), np.int64)
-    for i, x in enumerate(as_bytes(column)):
-        words = x.split()
-        counts[i] = len(words)
-        out += words
-    return out, counts
-
-
-def coded(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Each word as a number, and the distinct words by number."""
-    d = pa.array(words, pa.large_binary()).dictionary_encode()
-    return d.indices.to_numpy(zero_copy_only=False).astype(np.int64), d.dictionary.to_pylist()
-
-
 def coded_words(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """All ASCII-whitespace separated words of the texts in order as numbers, the distinct words, the words of each text."""
     raw, offsets = flat_bytes(column)
