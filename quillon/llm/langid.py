@@ -6,8 +6,8 @@ follow-the-regularised-leader and elastic-net penalties on at most ``per_lang``
 hash of their ids), and a temperature is fitted on every fifth of them, which the weights have not seen.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without anything to learn from
-every text is ``und``; every language is learnt, however rare; repeated rows are judged
-alike; texts of any length are judged whole; an empty table gives no rows; other columns are ignored.
+every text is ``und``; every language is learnt, however rare; an id that repeats within a language is learnt with the
+least of its texts; repeated rows are judged alike; texts of any length are judged whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import held_out
-from quillon.llm.textbatch import slices
+from quillon.llm.textbatch import freed, slices
 
 BUCKETS, MOST = 1 << 14, 3
-PER_LANG = 500
+PER_LANG, SALTS = 500, 32
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 0.02, 0.02, 3
 
 
@@ -113,7 +113,7 @@ def vector(at: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
 def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     """Learns from rows outside the held-out fold that have a language and a text."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    counts = usable.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = usable.select("text").mapInArrow(lambda it: freed(_frequencies(it)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     df = dict(zip(counts.column("bucket").to_pylist(), counts.column("n").to_pylist(), strict=True))
     total = df.pop(-1, 0)
     if not total:
@@ -122,9 +122,12 @@ def train(docs: DataFrame, per_lang: int = PER_LANG) -> Model | None:
     for k, v in df.items():
         idf[k] = np.log((1.0 + total) / (1.0 + v)) + 0.1
     langs = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = usable.select("doc_id", "lang").withColumn("_r", rank).where(F.col("_r") <= per_lang).select("doc_id", "lang")
-    sample = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").mapInArrow(_sparse, "key long, lang string, at array<int>, n array<int>").toArrow()
+    chosen = usable.select("doc_id", "lang").distinct().withColumn("_salt", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(SALTS)))
+    for by in (["lang", "_salt"], ["lang"]):  # first within salted parts: no task ranks all rows of a language
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64("doc_id"), "doc_id"))
+        chosen = chosen.withColumn("_r", rank).where(F.col("_r") <= per_lang).drop("_r")
+    sample = usable.join(F.broadcast(chosen.drop("_salt")), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+    sample = sample.mapInArrow(lambda it: freed(_sparse(it)), "key long, lang string, at array<int>, n array<int>").toArrow()
     got = sorted(((k, lang, at, n) for k, lang, at, n in zip(sample.column("key").to_pylist(), sample.column("lang").to_pylist(), (x.values.to_numpy() for x in sample.column("at")), (x.values.to_numpy() for x in sample.column("n")), strict=True)), key=lambda r: (r[0], r[1], len(r[2]), r[3].tobytes()))
     if not got:
         return None
@@ -161,5 +164,5 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model | None) -> Iterat
 def language_id(docs: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every document."""
     model = train(docs, per_lang)
-    out = docs.select("doc_id", "text").mapInArrow(lambda it: _predicted(it, model), "doc_id long, lang_pred string, score double")
+    out = docs.select("doc_id", "text").mapInArrow(lambda it: freed(_predicted(it, model)), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

@@ -163,3 +163,14 @@ def test_extra_columns_do_not_clash(spark):
     docs = spark.createDataFrame([(1, "one two", "en", "s", 7, 0.5)], DOCS).withColumn("ids", F.lit(1)).withColumn("block", F.lit(2)).withColumn("word", F.lit(3))
     assert bpe.bpe_report(docs).first().n_tokens == 2
     assert quality_rules.quality_rules(docs).first().n_words == 2
+
+
+def test_repeated_ids_are_learnt_once(spark):
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] * 3, "doc_id long, quality int, toxic int")
+    made = [(i, ("good river stone" if i % 2 else "bad spam") + f" {k}", "en" if i % 2 else "fr", None, None, None) for i in range(40) for k in range(5)]
+    docs = spark.createDataFrame(made, DOCS)
+    once = spark.createDataFrame([r for r in made if r[1].endswith(" 0")], DOCS)
+    (a, b), (c, d) = quality_model.train(docs, labels), quality_model.train(once, labels.distinct())
+    assert b == d and (a == c).all()
+    assert (langid.train(docs).weights.shape, len(langid.train(docs, 5).langs)) == ((langid.BUCKETS, 2), 2)
+    assert quality_model.quality_scores(docs, labels).count() == 200
