@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import staged
-from quillon.llm.textbatch import slices
+from quillon.llm.textbatch import freed, slices
 
 K = 32
 PRIME = np.uint64(0x100000001B3)
@@ -207,20 +207,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, length: int = 400, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, text, places) of the distinct texts with repeated anchors, and (key, spans) of what is repeated in them."""
     texts = docs.where(F.octet_length(text_col) >= length).select(F.col(text_col).alias("text"))
-    found = staged(texts.mapInArrow(lambda it: _anchor_rows(it, length), "key binary, h long, place long"), "anchors")
+    found = staged(texts.mapInArrow(lambda it: freed(_anchor_rows(it, length)), "key binary, h long, place long"), "anchors")
     at = F.struct("key", "place")
     often = found.groupBy("h").agg(F.min(at).alias("a"), F.max(at).alias("b")).where(F.col("a") != F.col("b")).select("h")
     places = found.join(often, "h").groupBy("key").agg(F.collect_set("place").alias("places"))
     distinct = texts.select(F.unhex(F.sha2("text", 256)).alias("key"), "text").groupBy("key").agg(F.first("text").alias("text"))
     holders = staged(distinct.join(places, "key"), "anchored-texts")
 
-    rows = holders.mapInArrow(lambda it: _context_rows(it, length), "key binary, h long, first long, starts long, context binary")
+    rows = holders.mapInArrow(lambda it: freed(_context_rows(it, length)), "key binary, h long, first long, starts long, context binary")
     rows = staged(rows, "contexts")
     kinds = staged(rows.groupBy("context", "h").agg(F.count("*").alias("n"), F.min(F.struct("key", "first")).alias("at")), "context-kinds")
     several = kinds.groupBy("h").agg(F.min("context").alias("a"), F.max("context").alias("b")).where(F.col("a") != F.col("b")).select("h")
     wanted = kinds.join(several, "h", "left_semi").select(F.col("at.key").alias("key"), F.col("at.first").alias("first")).groupBy("key").agg(F.collect_set("first").alias("firsts"))
-    shipped = holders.join(wanted, "key").select("text", "places", "firsts").mapInArrow(lambda it: _context_bytes(it, length), "h long, anchor long, starts long, bytes binary")
-    ranges = shipped.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: _merged_rows(it, length), "context binary, ranges array<struct<a:long,b:long>>")
+    shipped = holders.join(wanted, "key").select("text", "places", "firsts").mapInArrow(lambda it: freed(_context_bytes(it, length)), "h long, anchor long, starts long, bytes binary")
+    ranges = shipped.repartition("h").sortWithinPartitions("h").mapInArrow(lambda it: freed(_merged_rows(it, length)), "context binary, ranges array<struct<a:long,b:long>>")
 
     # a context that occurs twice is repeated wholly, others where the merge says so
     whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.lit(1 << 40).cast("long").alias("b")))
@@ -238,7 +238,7 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("key"), F.octet_length(text).cast("long").alias("n_bytes")), "texts")
     holders, spans = repeated_spans(docs, length, text_col)
-    cut = holders.join(spans, "key").select("key", "text", "spans").mapInArrow(_cut, "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    cut = holders.join(spans, "key").select("key", "text", "spans").mapInArrow(lambda it: freed(_cut(it)), "key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     copied = rows.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
     empty = hashlib.sha256(b"").hexdigest()
     gone = copied.select("key", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(empty).alias("kept_sha256"), F.lit(b"").alias("kept"))
@@ -257,4 +257,5 @@ def without_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id",
 
 
 def repeats_report(docs: DataFrame, length: int = 400) -> DataFrame:
-    return without_repeats(docs, length).drop("kept")
+    """The digest of ``without_repeats``, and has_repeat: whether anything was removed."""
+    return without_repeats(docs, length).drop("kept").withColumn("has_repeat", F.col("n_removed") > 0)

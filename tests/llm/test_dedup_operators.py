@@ -102,6 +102,12 @@ def test_one_of_each(spark):
     assert kept == set(range(30))
 
 
+def test_one_of_each_judges_rows_of_one_id_by_their_texts(spark):
+    a, b = ("%s one two three four five six seven" % x for x in ("alpha", "beta gamma delta epsilon zeta eta theta iota"))
+    kept = simhash.one_of_each(frame(spark, [(1, a), (7, a), (7, b), (None, a), (1, a)])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(1, a), (1, a), (7, b), (0, a)])
+
+
 def shingles_of(text):
     w = (text or "").lower().split()
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
@@ -183,7 +189,9 @@ def test_repeated_strings(spark, length):
             a = rng.randrange(length)
             pairs.append((i, "q" * rng.randint(0, 50) + b[a : a + rng.randint(5, length + 40)] + "z" * rng.randint(0, 50)))
     pairs += [(80, None), (81, ""), (82, base[0]), (82, base[0]), (None, base[1][: length - 2])]
-    got = Counter(tuple(r) for r in suffix_dedup.repeats_report(frame(spark, pairs), length).collect())
+    found = suffix_dedup.repeats_report(frame(spark, pairs), length).collect()
+    assert all(r.has_repeat == (r.n_removed > 0) for r in found)
+    got = Counter(tuple(r)[:5] for r in found)
     assert got == repeats_by_hand(pairs, length)
     assert suffix_dedup.repeats_report(frame(spark, pairs).limit(0), length).count() == 0
 
