@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import catalog as N
 from quillon.functions.text import stripped
 from quillon.operators.ranking import first_per
+from quillon.sources.staging import staged
 
 BYLINE = r"(?i)\b(BY|TRANSLATED\s+BY|EDITED\s+BY)\b"
 DAYS = r"(?i)\b(MONDAY|TUESDAY|WEDNESDAY|THURSDAY|FRIDAY|SATURDAY|SUNDAY|JANUARY|FEBRUARY|MARCH|APRIL|MAY|JUNE|JULY|AUGUST|SEPTEMBER|OCTOBER|NOVEMBER|DECEMBER)\b"  # fixed value
@@ -40,6 +41,7 @@ def unique_names(names: DataFrame, name: str = "name", order: str = "path", take
     count as used. What is made of one stem can only meet names that are that stem and a number, so numbers are dealt a
     stem at a time: a window counts, for the r-th use, the used numbers that have fewer than r free ones below them.
     """
+    names = staged(names, "names")  # read for uses and for used numbers
     stem = F.regexp_replace(F.col(name), r"\.txt$", "")
     rows = names.withColumn("_stem", stem).withColumn("_use", F.row_number().over(Window.partitionBy("_stem").orderBy(order)))
     used = names.select(stem.alias("_stem"))

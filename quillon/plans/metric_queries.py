@@ -204,11 +204,11 @@ def default_score(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", K.style_score(T.style_features(F.col("text"))).alias("score"))
 
 
-@query(f"WITH {Q.SCORED} SELECT id, round(CASE WHEN id % 3 = 0 THEN score / 2 ELSE score END, 6) AS score FROM scored")
+@query(f"WITH {Q.SCORED} SELECT id, round(CASE WHEN id % 3 = 0 THEN score / 2 ELSE score END, 9) AS score FROM scored")
 def preferred_score(spark, sf_dir):
     """Every third document has a calibrated score, half the plain one."""
     calibrated = F.when(F.col("id") % 3 == 0, F.col("score") / 2)
-    return scored(spark, sf_dir).select("id", F.round(M.preferred_score(calibrated, F.col("score")), 6).alias("score"))
+    return scored(spark, sf_dir).select("id", F.round(M.preferred_score(calibrated, F.col("score")), 9).alias("score"))
 
 
 TOPIC_LOGITS = "SELECT vec_id, list_transform(embedding[1:10], lambda x: round(x::double, 5)) AS z1, list_transform(embedding[11:20], lambda x: round(x::double, 5)) AS z2, label::int AS y1, ((label + vec_id) % 10)::int AS y2 FROM embeddings"

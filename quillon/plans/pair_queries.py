@@ -170,7 +170,7 @@ SELECT domain, author AS author1, author2, k, doc1, pos1, topic1, doc2, pos2, to
 @query(MIXED)
 def mixed_pairs_topic_match(spark, sf_dir):
     rows = chunks(spark, sf_dir).join(documents(spark, sf_dir).select("doc_id", F.col("lang").alias("domain")), "doc_id")
-    return P.mixed_negatives(rows.select("domain", "author", F.col("book_id").alias("doc"), F.col("idx").alias("pos"), "chunk"))
+    return P.mixed_negatives(staged(rows.select("domain", "author", F.col("book_id").alias("doc"), F.col("idx").alias("pos"), "chunk"), "mixed-chunks"))
 
 
 SUBJECT_LIST = "[" + ", ".join("'" + s.replace("'", "''") + "'" for s in SUBJECTS) + "]"
