@@ -108,28 +108,26 @@ def occurrences(c: Column, word: str) -> Column:
     return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(word), F.lit("")))) / len(word.encode())).cast("int")
 
 
-def topic_scores(c: Column, topics: Mapping[str, Sequence[str]]) -> list[Column]:
-    low = F.lower(c)
-    counts = {w: occurrences(low, w) for keys in topics.values() for w in keys}
-    return [sum((counts[w] for w in keys), F.lit(0)) for keys in topics.values()]
+def _best_topic(c: Column, topics: Mapping[str, Sequence[str]], values: list[Column], default: Column) -> Column:
+    """The value of the topic with most keyword occurrences, the first of equals; the text and the scores are bound once."""
 
+    def judged(low: Column) -> Column:
+        counts = {w: occurrences(low, w) for keys in topics.values() for w in keys}
+        scores = F.array(*[sum((counts[w] for w in keys), F.lit(0)) for keys in topics.values()])
+        best = lambda s: F.when(F.array_max(s) <= 0, default).otherwise(F.element_at(F.array(*values), F.array_position(s, F.array_max(s)).cast("int")))
+        return F.transform(F.array(scores), best)[0]
 
-def _first_best(scores: list[Column], values: list[Column], default: Column) -> Column:
-    best = F.greatest(*scores)
-    out = F.when(best <= 0, default)
-    for score, value in zip(scores, values, strict=True):
-        out = out.when(score == best, value)
-    return out
+    return F.transform(F.array(F.lower(c)), judged)[0]
 
 
 def topic_id(c: Column, topics: Mapping[str, Sequence[str]] = TOPICS) -> Column:
     """Number of the topic with most keyword occurrences, the first of equals; the number of topics if there is none."""
-    return _first_best(topic_scores(c, topics), [F.lit(i) for i in range(len(topics))], F.lit(len(topics)))
+    return _best_topic(c, topics, [F.lit(i) for i in range(len(topics))], F.lit(len(topics)))
 
 
 def topic_name(c: Column, topics: Mapping[str, Sequence[str]] = MIXED_TOPICS) -> Column:
     """Name of the topic with most keyword occurrences, the first of equals; empty if there is none."""
-    return _first_best(topic_scores(c, topics), [F.lit(t) for t in topics], F.lit(""))
+    return _best_topic(c, topics, [F.lit(t) for t in topics], F.lit(""))
 
 
 def style_features(c: Column) -> Column:
