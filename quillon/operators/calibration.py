@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions.vectors import probability
 from quillon.operators import metrics as M
+from quillon.sources.staging import staged
 
 
 def ramp(step: Column, steps: int, warmup: float = 0.1, ramp_share: float = 0.2) -> Column:
@@ -25,29 +26,26 @@ def ramp(step: Column, steps: int, warmup: float = 0.1, ramp_share: float = 0.2)
     return F.when(p < warmup, 0.0).otherwise(rising)
 
 
-def nll(rows: DataFrame, temperature: float) -> float:
-    """Mean negative log likelihood of labels under logits over the temperature: one aggregate."""
-    z = (F.col("logit1") - F.col("logit0")) / temperature
+def nll(rows: DataFrame, temperatures: list[float]) -> list[float]:
+    """Mean negative log likelihood of labels under logits over each temperature: one aggregate."""
+    z = F.col("logit1") - F.col("logit0")
     margin = F.when(F.col("label") == 1, z).otherwise(-z)
-    return float(rows.agg(F.avg(F.log1p(F.exp(-F.abs(margin))) + F.greatest(-margin, F.lit(0.0)))).first()[0])
+    losses = [F.avg(F.log1p(F.exp(-F.abs(margin / t))) + F.greatest(-margin / t, F.lit(0.0))) for t in temperatures]
+    return [float(x) for x in rows.agg(F.array(*losses)).first()[0]]
 
 
-def fit_temperature(rows: DataFrame, low: float = 1e-3, high: float = 100.0, steps: int = 40) -> float:
-    """The temperature with the least loss, by golden sections of its logarithm (label, logit0, logit1)."""
-    golden = (math.sqrt(5) - 1) / 2
+def fit_temperature(rows: DataFrame, low: float = 1e-3, high: float = 100.0, rounds: int = 7, parts: int = 32) -> float:
+    """The temperature with the least loss (label, logit0, logit1): grids of its logarithm, each around the best of the one before.
+
+    The loss is convex in the inverse temperature, so the least lies next to the best place of a grid.
+    """
+    rows = staged(rows.select("label", "logit0", "logit1"), "logits")
     a, b = math.log(low), math.log(high)
-    loss: Callable[[float], float] = lambda x: nll(rows, math.exp(x))
-    c, d = b - golden * (b - a), a + golden * (b - a)
-    at_c, at_d = loss(c), loss(d)
-    for _ in range(steps):
-        if at_c <= at_d:
-            b, d, at_d = d, c, at_c
-            c = b - golden * (b - a)
-            at_c = loss(c)
-        else:
-            a, c, at_c = c, d, at_d
-            d = a + golden * (b - a)
-            at_d = loss(d)
+    for _ in range(rounds):
+        grid = [a + (b - a) * i / parts for i in range(parts + 1)]
+        losses = nll(rows, [math.exp(x) for x in grid])
+        best = losses.index(min(losses))
+        a, b = grid[max(best - 1, 0)], grid[min(best + 1, parts)]
     return math.exp((a + b) / 2)
 
 
@@ -108,7 +106,7 @@ def folded(scored: DataFrame, folds: int = 5, group: str | None = None) -> DataF
             fold[r[group]] = f
             load[f] += r["n"]
         table = scored.sparkSession.createDataFrame(list(fold.items()), [group, "fold"])
-        return scored.join(F.broadcast(table), group)
+        return scored.join(table, group)
     own = Window.partitionBy("label").orderBy(F.md5(F.concat_ws("|", F.lit("42"), F.col("id").cast("string"))), "id")
     return scored.withColumn("fold", (F.row_number().over(own) - 1) % folds)
 

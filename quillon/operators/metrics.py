@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.vectors import finite
+from quillon.operators.ranking import quantiles
+from quillon.sources.staging import staged
 
 LEVELS = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)
 
@@ -100,12 +102,16 @@ def sliced_accuracy(rows: DataFrame) -> DataFrame:
 
 def quantile_edges(scored: DataFrame, bins: int = 15) -> DataFrame:
     """edges: distinct quantiles of the score."""
-    levels = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return scored.agg(F.array_sort(F.array_distinct(F.percentile("score", levels))).alias("edges"))
+    found = quantiles(scored.select(F.lit(0).alias("_all"), "score"), "_all", "score", [i / bins for i in range(bins + 1)])
+    return found.select(F.array_sort(F.array_distinct("q")).alias("edges"))
 
 
 def reliability(scored: DataFrame, bins: int = 15, strategy: str = "quantile") -> DataFrame:
     """bin, n, conf, acc: half-open bins, the last one closed; no rows if all scores are equal (quantile)."""
+    return _binned(staged(scored.select("label", "score"), "scored"), bins, strategy)
+
+
+def _binned(scored: DataFrame, bins: int, strategy: str) -> DataFrame:
     if strategy == "quantile":
         edges = quantile_edges(scored, bins).where(F.size("edges") > 1)
     elif strategy == "fixed":
@@ -118,8 +124,9 @@ def reliability(scored: DataFrame, bins: int = 15, strategy: str = "quantile") -
 
 def ece(scored: DataFrame, bins: int = 15, strategy: str = "quantile") -> DataFrame:
     """ece: mean gap between confidence and accuracy; 0 if all scores are equal, NaN without rows."""
+    scored = staged(scored.select("label", "score"), "scored")
     n = scored.agg(F.count("*").alias("_n"))
-    gaps = reliability(scored, bins, strategy).agg(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))).alias("_gap"))
+    gaps = _binned(scored, bins, strategy).agg(F.sum(F.col("n") * F.abs(F.col("acc") - F.col("conf"))).alias("_gap"))
     return gaps.crossJoin(n).select(F.when(F.col("_n") == 0, float("nan")).otherwise(F.coalesce(F.col("_gap"), F.lit(0.0)) / F.col("_n")).alias("ece"))
 
 
@@ -131,19 +138,21 @@ def brier(scored: DataFrame) -> DataFrame:
 def percentile_table(scored: DataFrame, domain: str = "domain") -> DataFrame:
     """Percentiles, mean and median of finite scores by label, over all and by domain (null domain: all)."""
     names = [f"p{round(100 * q)}" for q in LEVELS]
-    rows = scored.where(finite(F.col("score"))).select(F.coalesce(F.col(domain), F.lit("unknown")).alias("domain"), "label", "score")
-    grouped = rows.groupingSets([["label"], ["domain", "label"]], "domain", "label")
-    out = grouped.agg(F.count("*").alias("n"), F.avg("score").alias("mean"), F.percentile("score", F.array(*map(F.lit, LEVELS))).alias("q"), F.percentile("score", F.lit(0.5)).alias("median"))
-    return out.select("domain", "label", "n", "mean", "median", *[F.col("q")[i].alias(c) for i, c in enumerate(names)])
+    rows = staged(scored.where(finite(F.col("score"))).select(F.coalesce(F.col(domain), F.lit("unknown")).alias("domain"), "label", "score"), "scored")
+    both = rows.withColumn("domain", F.explode(F.array(F.lit(None).cast("string"), F.col("domain"))))
+    both = both.withColumn("_group", F.to_json(F.struct("domain", "label")))
+    out = both.groupBy("_group", "domain", "label").agg(F.count("*").alias("n"), F.avg("score").alias("mean")).join(quantiles(both, "_group", "score", [*LEVELS, 0.5]), "_group")
+    return out.select("domain", "label", "n", "mean", F.col("q")[len(LEVELS)].alias("median"), *[F.col("q")[i].alias(c) for i, c in enumerate(names)])
 
 
 def benchmark_aggregate(rows: DataFrame, columns: list[str]) -> DataFrame:
     """n (failures included), and mean and median of the finite values of each column."""
-    stats = []
-    for c in columns:
-        value = F.when(finite(F.col(c)), F.col(c))
-        stats += [F.avg(value).alias(f"{c}_mean"), F.percentile(value, F.lit(0.5)).alias(f"{c}_median")]
-    return rows.agg(F.count("*").alias("n"), *stats)
+    rows = staged(rows.select(*[F.when(finite(F.col(c)), F.col(c).cast("double")).alias(c) for c in columns]), "scores")
+    out = rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in columns])
+    each = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("_name"), F.col(c).alias("_value")) for c in columns])).alias("x")).select("x.*")
+    middle = quantiles(each, "_name", "_value", [0.5])
+    medians = middle.agg(*[F.max(F.when(F.col("_name") == c, F.col("q")[0])).alias(f"{c}_median") for c in columns])
+    return out.crossJoin(medians).select("n", *[f"{c}_{s}" for c in columns for s in ("mean", "median")])  # one row each
 
 
 def preferred_score(calibrated: Column, mapped: Column) -> Column:

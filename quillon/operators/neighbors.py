@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
-from quillon.operators.ranking import ranked
+from quillon.operators.ranking import quantiles, ranked
 from quillon.sources.staging import staged
 
 BLOCK_BYTES = 64 << 20  # of queries sent to the items at once
@@ -132,7 +132,8 @@ def quantile_pruned(scores: DataFrame, share: float, least: int = 2) -> DataFram
     if share <= 0:
         return scores
     level = 1 - min(0.95, share)
-    kept = scores.crossJoin(F.broadcast(scores.agg(F.percentile("score", F.lit(level)).alias("_q"), F.count("*").alias("_n"))))
+    limit = quantiles(scores.select(F.lit(0).alias("_all"), "score"), "_all", "score", [level]).agg(F.max(F.col("q")[0]).alias("_q"))
+    kept = scores.crossJoin(F.broadcast(limit)).crossJoin(F.broadcast(scores.agg(F.count("*").alias("_n"))))
     below = kept.where((F.col("score") <= F.col("_q")) | (F.col("_n") <= 2))
     enough = F.broadcast(below.agg(F.count("*").alias("_kept")))
     return kept.crossJoin(enough).where((F.col("score") <= F.col("_q")) | (F.col("_n") <= 2) | (F.col("_kept") < least)).drop("_q", "_n", "_kept")

@@ -69,8 +69,8 @@ def negatives(chunks: DataFrame, edges: DataFrame | None = None, per_book: int =
     books = chunks.where(F.col("pos") == 0).select("book_id", "author", "split", "n")
     by_split = ordered_place(books, "split", "book_id", "at").withColumnRenamed("_n", "n_split")
     named = books.where(~T.is_anonymous(F.col("author")))
-    own = Window.partitionBy("author", "split")
-    by_author = named.select("author", "split", "book_id", (F.row_number().over(own.orderBy("book_id")) - 1).alias("at_author"), F.count("*").over(own).alias("n_author"))
+    placed = ordered_place(named.select("author", "split", "book_id", F.struct("author", "split").alias("_owner")), "_owner", "book_id", "at_author")
+    by_author = placed.select("author", "split", "book_id", "at_author", F.col("_n").alias("n_author"))
     if edges is None:
         edges = chunks.sparkSession.createDataFrame([], "book_id string, neighbor_id string")
     ends = books.select(F.col("book_id").alias("neighbor_id"), "split")

@@ -38,6 +38,22 @@ def ordered_place(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
     return placed.join(counts, [by, "_part"]).withColumn(name, F.col("_pos") + F.col("_shift")).drop("_part", "_pos", "_shift")
 
 
+def quantiles(df: DataFrame, by: str, value: str, levels: list[float]) -> DataFrame:
+    """``by`` and q, the exact quantiles (linear between neighbours) of each group's values that are not null.
+
+    ``by`` must not be null. Values are placed by a sort over ranges, so no task holds a group's distinct values.
+    """
+    placed = ordered_place(df.select(by, value).where(F.col(value).isNotNull()), by, value, "_at")
+
+    def level(q: float) -> Column:
+        at = (F.col("_n") - 1) * F.lit(float(q))
+        low, high = F.floor(at), F.ceil(at)
+        below, above = (F.max(F.when(F.col("_at") == x, F.col(value))) for x in (low, high))
+        return F.when(F.max(low) == F.max(high), below).otherwise(F.max(high - at) * below + F.max(at - low) * above)
+
+    return placed.groupBy(by).agg(F.array(*map(level, levels)).alias("q"))
+
+
 def ranked(df: DataFrame, by: list[str], order: list[Column], name: str = "rank") -> DataFrame:
     """Adds the place (from 1) of each row in its group."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))

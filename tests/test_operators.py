@@ -283,3 +283,22 @@ def test_ordered_places(spark):
     for split in ("train", "test"):
         own = sorted(r.book for r in got if r.split == split)
         assert {r.book: (r["at"], r["_n"]) for r in got if r.split == split} == {b: (i, len(own)) for i, b in enumerate(own)}
+
+
+def test_quantiles(spark):
+    rows = [("hot", float(i * i % 97)) for i in range(500)] + [("one", 4.0), ("two", -1.0), ("two", 2.0), ("nulls", None), ("ties", 1.0), ("ties", 1.0), ("ties", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    levels = [0.0, 1 / 15, 0.5, 0.95, 1.0]
+    got = {r.g: r.q for r in ranking.quantiles(df, "g", "x", levels).collect()}
+    assert set(got) == {"hot", "one", "two", "ties"}
+    for g, q in got.items():
+        assert q == pytest.approx(np.quantile([x for h, x in rows if h == g and x is not None], levels).tolist())
+    assert ranking.quantiles(df.limit(0), "g", "x", levels).count() == 0
+
+
+def test_percentiles_without_labels_or_scores(spark):
+    df = spark.createDataFrame([("a", None, 0.5), (None, 1, 0.25), ("a", 1, float("nan")), ("a", 1, None)], "domain string, label int, score double")
+    got = {(r.domain, r.label): (r.n, r.median, r.p99) for r in metrics.percentile_table(df).collect()}
+    assert got == {(None, None): (1, 0.5, 0.5), ("a", None): (1, 0.5, 0.5), (None, 1): (1, 0.25, 0.25), ("unknown", 1): (1, 0.25, 0.25)}
+    assert metrics.benchmark_aggregate(df.limit(0), ["score"]).collect() == [(0, None, None)]
+    assert metrics.reliability(df.limit(0)).count() == 0 and neighbors.quantile_pruned(df.limit(0), 0.1).count() == 0
