@@ -25,11 +25,12 @@ from quillon.llm.textbatch import coded_words, freed, slices
 
 SAMPLE = 3000
 DIM, EPOCHS, RATE, SEED = 8, 8, 4.0, 7
+AT_ONCE = 1 << 20  # bytes of text whose features a worker holds at once
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label, buckets and their shares of the document's features."""
-    for piece in slices(batches, "text"):
+    for piece in slices(batches, most=AT_ONCE):
         labels, at, share = [], [], []
         for i, label in enumerate(piece.column(0).to_pylist()):
             codes, words, _ = coded_words(piece.column(1).slice(i, 1))
@@ -92,7 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label_col: s
 
 
 def _scored(batches: Iterator[pa.RecordBatch], each: np.ndarray, bias: float) -> Iterator[pa.RecordBatch]:
-    for piece in slices(batches):
+    for piece in slices(batches, most=AT_ONCE):
         codes, distinct, n = coded_words(piece.column(1))
         bucket, owner = word_features(distinct)
         total = np.bincount(owner, weights=each[bucket], minlength=len(distinct))
@@ -111,7 +112,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thr
 
 
 def _kept(batches: Iterator[pa.RecordBatch], each: np.ndarray, bias: float, threshold: float) -> Iterator[pa.RecordBatch]:
-    for piece in slices(batches):
+    for piece in slices(batches, most=AT_ONCE):
         pair = pa.RecordBatch.from_arrays([pa.array(np.zeros(piece.num_rows, np.int64)), piece.column("text")], names=["doc_id", "text"])
         score = np.concatenate([x.column(1).to_numpy() for x in _scored(iter([pair]), each, bias)])
         yield piece.filter(pa.array(score >= threshold))
