@@ -2,7 +2,8 @@
 
 The trees (logistic loss, histogram splits, numpy) are learnt from labelled URLs, at most ``SAMPLE`` of them by
 the hash of their text. Suffix statistics (how many URLs, and which share of the labelled ones is blocked, for the
-last labels of the host) are counted over all rows, in a fixed number of buckets.
+last labels of the host) are counted over all rows, in a fixed number of buckets. A URL that is learnt from sees the share
+among the labelled URLs of the other folds, so that its own label never is one of its features.
 
 Defined results: null URLs and URLs without ``://`` have an empty host and path; without labelled URLs of both
 verdicts the method's verdict is ``allow`` unless all labels say ``block``; repeated rows are judged alike; an
@@ -25,7 +26,7 @@ from quillon.llm.common import ascii_lower
 
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))  # fixed values
 SAMPLE, TREES, DEPTH, RATE, BINS, LEAF, PENALTY = 20_000, 40, 4, 0.2, 32, 8, 1.0
-SUFFIXES = 4096
+SUFFIXES, FOLDS = 4096, 5
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -128,16 +129,27 @@ def predict(model: Trees, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-score))
 
 
-def matrix(batch: pa.RecordBatch, stats: np.ndarray) -> np.ndarray:
+def suffix_shares(suffix: np.ndarray, fold: np.ndarray, known: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """FOLDS + 1 x SUFFIXES: the smoothed share of blocked URLs outside each fold, and (last) among all of them."""
+    seen, blocked = np.zeros((2, FOLDS + 1, SUFFIXES))
+    np.add.at(seen, (fold, suffix), known)
+    np.add.at(blocked, (fold, suffix), bad)
+    seen, blocked = seen.sum(0) - seen, blocked.sum(0) - blocked  # nothing has the fold FOLDS, so its row is that of all
+    return (blocked + 1) / (seen + 2)
+
+
+def matrix(batch: pa.RecordBatch, often: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Features of each row; ``share``: of each suffix, or of each fold and suffix for rows with a fold."""
     lexical = [features(*r) for r in zip(*(batch.column(c).to_pylist() for c in ("url", "host", "path")), strict=True)]
     at = batch.column("suffix").to_numpy()
-    return np.column_stack([np.array(lexical, float).reshape(len(at), -1), stats[at]])
+    blocked = share[at] if share.ndim == 1 else share[batch.column("fold").to_numpy(), at]
+    return np.column_stack([np.array(lexical, float).reshape(len(at), -1), often[at], blocked])
 
 
-def _judged(batches: Iterator[pa.RecordBatch], model: Trees, stats: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch], model: Trees, often: np.ndarray, share: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            risk = predict(model, matrix(batch, stats))
+            risk = predict(model, matrix(batch, often, share))
             verdict = [v or ("block" if p >= 0.5 else "allow") for v, p in zip(batch.column("ruled").to_pylist(), risk.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule")), pa.array(verdict, pa.string()), pa.array(risk)], names=["page_id", "host", "path", "rule", "verdict", "block_score"])
 
@@ -156,12 +168,14 @@ def url_verdicts(pages: DataFrame, rules=RULES, labelled: DataFrame | None = Non
     else:
         h, p = host_and_path(F.col("url"))
         known = labelled.where(F.col("verdict").isin("block", "allow")).select("url", h.alias("host"), p.alias("path"), (F.col("verdict") == "block").cast("int").alias("y")).withColumn("suffix", suffix(F.col("host")))
-    counted = rows.select("suffix", F.lit(None).cast("int").alias("y")).unionByName(known.select("suffix", "y"))
-    counted = counted.groupBy("suffix").agg(F.count_if(F.col("y").isNull()).alias("n"), F.count("y").alias("known"), F.sum("y").alias("bad")).toArrow()  # SUFFIXES rows at most
-    stats = np.zeros((SUFFIXES, 2))
-    n, seen, bad = (counted.column(c).to_numpy().astype(float) for c in ("n", "known", "bad"))
-    stats[counted.column("suffix").to_numpy()] = np.column_stack([np.log1p(n), (np.nan_to_num(bad) + 1) / (seen + 2)])
+    known = known.withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int"))
+    counted = rows.groupBy("suffix").agg(F.count("*").alias("n")).toArrow()  # SUFFIXES rows at most
+    often = np.zeros(SUFFIXES)
+    often[counted.column("suffix").to_numpy()] = np.log1p(counted.column("n").to_numpy())
+    by_fold = known.groupBy("suffix", "fold").agg(F.count("*").alias("known"), F.sum("y").alias("bad")).toArrow()  # SUFFIXES x FOLDS rows at most
+    share = suffix_shares(*(by_fold.column(c).to_numpy() for c in ("suffix", "fold", "known", "bad")))
     learnt = known.orderBy(F.xxhash64("url"), "url", "y").limit(sample).toArrow().combine_chunks()
     learnt = learnt.to_batches()[0] if learnt.num_rows else None
-    model = fit(matrix(learnt, stats), learnt.column("y").to_numpy().astype(float)) if learnt else Trees(-1.0, *fit(np.zeros((0, 1)), np.zeros(0))[1:])
-    return rows.select("page_id", "url", "host", "path", "suffix", "ruled", "rule").mapInArrow(lambda it: _judged(it, model, stats), "page_id long, host string, path string, rule string, verdict string, block_score double")
+    model = fit(matrix(learnt, often, share), learnt.column("y").to_numpy().astype(float)) if learnt else Trees(-1.0, *fit(np.zeros((0, 1)), np.zeros(0))[1:])
+    whole = share[FOLDS]
+    return rows.select("page_id", "url", "host", "path", "suffix", "ruled", "rule").mapInArrow(lambda it: _judged(it, model, often, whole), "page_id long, host string, path string, rule string, verdict string, block_score double")

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 pytest.importorskip("quillon.llm")
@@ -159,6 +160,69 @@ def test_url_rules_and_trees(spark):
     assert verdicts == {1: "block", 2: "allow"}
 
 
+def test_trees_against_plain_versions(monkeypatch):
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.integers(0, 9, 200), rng.random(200), rng.integers(0, 2, 200)]).astype(float)
+    y = ((x[:, 0] > 4) ^ (rng.random(200) < 0.1)).astype(float)
+    monkeypatch.setattr(url_filter, "TREES", 2)
+    model = url_filter.fit(x, y)
+    base = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+
+    def walked(row, trees):  # score by walking each tree from its root
+        score = base
+        for t in range(trees):
+            k = 0
+            while k < 15:
+                k = 2 * k + 1 + int(row[model.feature[t, k]] > model.threshold[t, k])
+            score += model.value[t, k - 15]
+        return score
+
+    for t in range(2):
+        p = np.array([1 / (1 + np.exp(-walked(r, t))) for r in x])
+        g, h = p - y, p * (1 - p)
+        gains = []
+        for j in range(3):
+            for cut in np.unique(np.quantile(x[:, j], np.linspace(0, 1, url_filter.BINS + 1)[1:-1])):
+                left = x[:, j] <= cut
+                if min(left.sum(), (~left).sum()) >= url_filter.LEAF:
+                    gains.append((sum(g[s].sum() ** 2 / (h[s].sum() + url_filter.PENALTY) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + url_filter.PENALTY), j, cut))
+        own = [v for v, j, cut in gains if (j, cut) == (model.feature[t, 0], model.threshold[t, 0])]
+        assert own and abs(own[0] - max(gains)[0]) < 1e-9
+        leaf = np.zeros(200, int)
+        for _ in range(url_filter.DEPTH):
+            leaf = 2 * leaf + 1 + (x[np.arange(200), model.feature[t][leaf]] > model.threshold[t][leaf])
+        for k in set(leaf.tolist()):
+            s = leaf == k
+            assert abs(model.value[t, k - 15] + url_filter.RATE * g[s].sum() / (h[s].sum() + url_filter.PENALTY)) < 1e-9
+    assert np.allclose(url_filter.predict(model, x), [1 / (1 + np.exp(-walked(r, 2))) for r in x])
+
+
+def test_suffix_shares_leave_the_own_fold_out():
+    rng = np.random.default_rng(8)
+    rows = np.column_stack([rng.integers(0, 6, 300), rng.integers(0, url_filter.FOLDS, 300), rng.integers(0, 2, 300)])
+    share = url_filter.suffix_shares(rows[:, 0], rows[:, 1], np.ones(300), rows[:, 2])
+    for fold in range(url_filter.FOLDS + 1):
+        for at in range(7):
+            other = rows[(rows[:, 0] == at) & (rows[:, 1] != fold)]
+            assert abs(share[fold, at] - (other[:, 2].sum() + 1) / (len(other) + 2)) < 1e-12
+
+
+def test_url_precision_held_out(spark):
+    rng = random.Random(9)
+
+    def made(i):
+        bad = rng.random() < 0.4
+        host = f"{'win-' if bad and rng.random() < 0.8 else ''}{rng.choice(['shop', 'blog', 'wiki'])}{rng.randrange(10 ** (6 if bad else 2))}.{rng.choice(['org', 'com', 'net'])}"
+        return f"http://{host}/{'a/' * rng.randint(0, 3)}{i}" + ("?id=1&ref=2&u=3" if bad and rng.random() < 0.7 else ""), "block" if bad else "allow"
+
+    learnt, fresh = [made(i) for i in range(1500)], [made(i) for i in range(1500, 2500)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(fresh)], "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filter.url_verdicts(pages, rules=(), labelled=spark.createDataFrame(learnt, "url string, verdict string")).collect()}
+    blocked = [i for i, v in got.items() if v == "block"]
+    right = sum(fresh[i][1] == "block" for i in blocked)
+    assert right / len(blocked) > 0.93 and right / sum(v == "block" for _, v in fresh) > 0.9
+
+
 def test_extra_columns_do_not_clash(spark):
     docs = spark.createDataFrame([(1, "one two", "en", "s", 7, 0.5)], DOCS).withColumn("ids", F.lit(1)).withColumn("block", F.lit(2)).withColumn("word", F.lit(3))
     assert bpe.bpe_report(docs).first().n_tokens == 2
