@@ -8,7 +8,10 @@ below the bound are discarded, and what remains is verified by an alignment insi
 searched in overlapping parts, so that a long stretch of them counts. Items of fewer than ``Q`` characters are found as
 exact copies between word bounds; scripts written without spaces have a bound at every character.
 
-The benchmark is taken in chunks of at most ``CHUNK`` characters, each broadcast by itself against all documents.
+The benchmark is taken in chunks of about ``CHUNK`` characters, each collected, indexed and sent by itself against all
+documents; of several chunks each one's result is written before the next one is read. Where a text and a chunk share
+more than ``ENTRIES`` pairs of q-grams, ranges of the chunk's parts, then overlapping stretches of the text, are taken one
+after another, so that a common q-gram costs time but no memory.
 
 Defined results: null and empty texts, and items that fold to nothing, match nothing; repeated
 rows and items are reported each; texts of any length are searched whole; empty tables give no rows; other columns
@@ -26,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.textbatch import freed, slices
+from quillon.llm.common import discard, staged
+from quillon.llm.textbatch import freed, slices, spread
 
 Q, SHARE, PART = 10, 0.08, 200
-CHUNK = 4 << 20
+CHUNK, ENTRIES = 4 << 20, 1 << 20
 FILTER_BITS = 22
 PRIME = np.uint64(0x100000001B3)
 SPACELESS = ((0x0E00, 0x0F00), (0x1000, 0x10A0), (0x1780, 0x1800), (0x2E80, 0x110000))  # fixed ranges
@@ -86,7 +90,7 @@ class Index(NamedTuple):
     parts: list[Part]
     seen: np.ndarray  # filter on the leading bits of a q-gram's hash
     grams: np.ndarray  # sorted distinct hashes
-    first: np.ndarray  # where each one's entries begin
+    key: np.ndarray  # of each entry, ascending: place in ``grams`` times the number of parts, and the part
     part: np.ndarray
     place: np.ndarray
     width: np.ndarray  # of each part's bands
@@ -114,10 +118,10 @@ def index_of(items: list[tuple[int | None, str | None]]) -> Index:
     part = np.repeat(np.arange(len(parts)), [len(p.code) - Q + 1 for p in parts])
     place = np.concatenate([np.arange(len(p.code) - Q + 1) for p in parts] or [np.zeros(0, np.int64)])
     by = np.argsort(h, kind="stable")
-    distinct, first = np.unique(h[by], return_index=True)
+    distinct, rank = np.unique(h[by], return_inverse=True)
     seen = np.zeros(1 << FILTER_BITS, bool)
     seen[h >> np.uint64(64 - FILTER_BITS)] = True
-    return Index(table, parts, seen, distinct, np.r_[first, len(h)], part[by], place[by], np.array([p.edits + 1 for p in parts]), np.array([p.bound for p in parts]), short_items(items, table))
+    return Index(table, parts, seen, distinct, rank * len(parts) + part[by], part[by], place[by], np.array([p.edits + 1 for p in parts]), np.array([p.bound for p in parts]), short_items(items, table))
 
 
 def short_items(items: list[tuple[int | None, str | None]], table: np.ndarray) -> dict[int, tuple[np.ndarray, dict[bytes, list[int | None]]]]:
@@ -197,8 +201,26 @@ def long_matches(code: np.ndarray, index: Index) -> dict[int | None, tuple[int,
     at, found = at[real], found[real]
     if not len(at):
         return {}
-    n = index.first[found + 1] - index.first[found]
-    entry = np.repeat(index.first[found] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    out: dict[int | None, tuple[int, int]] = {}
+    todo = [(0, len(code), 0, len(index.parts))]  # stretches of the text, ranges of parts
+    while todo:
+        a, b, low, high = todo.pop()
+        i, j = np.searchsorted(at, [a, b - Q + 1])
+        first, last = (np.searchsorted(index.key, found[i:j] * len(index.parts) + p) for p in (low, high))
+        if (last - first).sum() <= ENTRIES or (high - low == 1 and b - a <= 8 * PART):
+            verified(code, at[i:j], first, last - first, index, out)
+        elif high - low > 1:
+            todo += [(a, b, low, (low + high) // 2), (a, b, (low + high) // 2, high)]
+        else:  # copies of a part, of fewer than 2 * PART characters, lie whole in one of the two
+            todo += [(a, (a + b) // 2 + 2 * PART, low, high), ((a + b) // 2, b, low, high)]
+    return out
+
+
+def verified(code: np.ndarray, at: np.ndarray, first: np.ndarray, n: np.ndarray, index: Index, out: dict[int | None, tuple[int, int]]) -> None:
+    """Adds to ``out`` what is found by the q-grams at the places ``at``, each with n of the index's entries from ``first``."""
+    entry = spread(first, n)
+    if not len(entry):
+        return
     part, place = index.part[entry], index.place[entry]
     band = (np.repeat(at, n) - place) // index.width[part]
     # bands are two widths long and overlap by one, so diagonals within the budget meet in one of them; a q-gram of
@@ -209,10 +231,9 @@ def long_matches(code: np.ndarray, index: Index) -> dict[int | None, tuple[int,
     first = np.r_[True, (part[1:] != part[:-1]) | (band[1:] != band[:-1])]
     fresh = first | np.r_[True, place[1:] != place[:-1]]
     start = np.flatnonzero(first)
-    count = np.add.reduceat(fresh.astype(np.int64), start) if len(start) else np.zeros(0, np.int64)
+    count = np.add.reduceat(fresh.astype(np.int64), start)
     part, band = part[start], band[start]
     good = count >= index.bound[part]
-    out: dict[int | None, tuple[int, int]] = {}
     for p, b in zip(part[good].tolist(), band[good].tolist(), strict=True):
         item, own, most, _ = index.parts[p]
         low, high = b * (most + 1) - most, (b + 2) * (most + 1) - 1 + most
@@ -221,7 +242,6 @@ def long_matches(code: np.ndarray, index: Index) -> dict[int | None, tuple[int,
         edits = 0 if own.tobytes() in region.tobytes() and contains(region, own) else banded(own, region, low - from_, high - from_, most)
         if edits <= most and (item not in out or edits < out[item][0]):
             out[item] = (edits, len(own))
-    return out
 
 
 def contains(text: np.ndarray, part: np.ndarray) -> bool:
@@ -239,19 +259,28 @@ def _found(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], names=["doc_id", "item_id", "edits", "length"])
 
 
-def chunks(benchmark: DataFrame) -> list[list[tuple[int | None, str | None]]]:
-    """The benchmark's items in chunks of about ``CHUNK`` characters."""
+def chunks(benchmark: DataFrame) -> list[DataFrame]:
+    """The benchmark's items in tables of about ``CHUNK`` characters."""
     size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-size // CHUNK))
-    dealt = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [[(r["item_id"], r["text"]) for r in benchmark.where(F.col("text").isNotNull() & (dealt == k)).select("item_id", "text").collect()] for k in range(n)]
+    dealt = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [benchmark.where(F.col("text").isNotNull() & (dealt == k)).select("item_id", "text") for k in range(n)]
+
+
+def items_of(chunk: DataFrame) -> list[tuple[int | None, str | None]]:
+    return [(r["item_id"], r["text"]) for r in chunk.collect()]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, item_id, edits, length (of the item or part that matched) for every document and item found in it."""
     rows = docs.select(docs[id_col].alias("doc_id"), docs["text"])
-    found = [rows.mapInArrow(lambda it, i=index_of(c): freed(_found(it, i)), "doc_id long, item_id long, edits long, length long") for c in chunks(benchmark)]
-    return reduce(DataFrame.union, found)
+
+    def found(chunk: DataFrame) -> DataFrame:
+        index = index_of(items_of(chunk))
+        return rows.mapInArrow(lambda it: freed(_found(it, index)), "doc_id long, item_id long, edits long, length long")
+
+    each = chunks(benchmark)
+    return found(each[0]) if len(each) == 1 else reduce(DataFrame.union, [staged(found(c), "leaks") for c in each])
 
 
 def _clean(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
@@ -261,6 +290,16 @@ def _clean(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.Recor
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, in which no benchmark item is found."""
-    for c in chunks(benchmark):
-        docs = docs.mapInArrow(lambda it, i=index_of(c): freed(_clean(it, i)), docs.schema)
-    return docs
+
+    def clean(rows: DataFrame, chunk: DataFrame) -> DataFrame:
+        index = index_of(items_of(chunk))
+        return rows.mapInArrow(lambda it: freed(_clean(it, index)), rows.schema)
+
+    *some, last = chunks(benchmark)
+    own = False
+    for c in some:
+        before, docs = docs, staged(clean(docs, c), "clean-documents")
+        if own:
+            discard(before)
+        own = True
+    return clean(docs, last)

@@ -230,6 +230,33 @@ def test_decontamination(spark):
     assert decontaminate.leaks(frame(spark, pairs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_by_chunks(spark, monkeypatch):
+    rng = random.Random(12)
+    items = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "of", "the"]) + str(rng.randrange(50)) for _ in range(20))) for i in range(9)] + [(3, "tiny"), (None, "another item without an id")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pairs = [(d, f"x {rng.choice(items)[1]} y {rng.choice(items)[1][: rng.randrange(1, 40)]}") for d in range(40)] + [(50, None), (51, "clean")]
+    found = lambda: Counter(map(tuple, decontaminate.leaks(frame(spark, pairs), bench).collect()))
+    kept = lambda: sorted(r.doc_id for r in decontaminate.without_leaks(frame(spark, pairs), bench).collect())
+    whole = found(), kept()
+    monkeypatch.setattr(decontaminate, "CHUNK", 300)
+    assert len(decontaminate.chunks(bench)) > 3
+    assert (found(), kept()) == whole and len(whole[0]) > 30 and whole[1] == [50, 51]
+
+
+def test_common_grams_are_taken_in_stretches(monkeypatch):
+    rng = random.Random(13)
+    common = "question: what is the answer to "
+    items = [(i, common + "".join(rng.choice("abcdef ") for _ in range(rng.randint(20, 500)))) for i in range(12)] + [(20, "a" * 150), (21, "ab" * 120)]
+    index = decontaminate.index_of(items)
+    texts = ["a" * 4000, "ab" * 2000, common * 90, "zz ".join(t for _, t in items), common * 40 + items[5][1] + " " + common * 40, "b" + "a" * 149 + "c" * 2500]
+    texts += ["x" * rng.randint(0, 3000) + items[k][1].replace("e", "o", 3) + common * 20 for k in range(8)]
+    whole = [decontaminate.matches(t, index) for t in texts]
+    assert {20} <= whole[0].keys() and {21} <= whole[1].keys() and 5 in whole[4] and whole[3].keys() == {i for i, _ in items}
+    for most in (1, 500, 20_000):
+        monkeypatch.setattr(decontaminate, "ENTRIES", most)
+        assert [decontaminate.matches(t, index) for t in texts] == whole
+
+
 def test_short_items_are_found_as_exact_copies(spark):
     items = [(1, "4 + 17"), (2, "Cat"), (3, "水の音"), (4, "..."), (5, "cat"), (6, "nine char"), (7, "a long enough item of words")]
     texts = ["so 4 + 17 it is", "14 + 17", "concatenate", "a CAT!", "古池や蛙飛びこむ水の音", "nine chars", "nine, char", "cat: a long enough item of words", None, "", "4 17"]
