@@ -4,10 +4,11 @@ Candidates lose no pair. A set's shingle hashes are put in order, as a ring; its
 one another. A hash that only this set has breaks ``GRAM`` of its grams, one that only the other set has breaks
 ``GRAM - 1``. With n hashes and similarity t at most ``broken`` = (1 - t) * n * max(GRAM, (GRAM - 1) / t) of the n
 grams break, so each of two near copies has one of the grams in common among its ``broken + 1`` least ones. Sets that
-share such a gram are chained, never paired. Each component of the chains meets in one task, which finds the pairs at
-or above the limit by prefix filtering on the component's rarest hashes, tables of Hamming distances from SimHash
+share such a gram are chained, never paired. A component of the chains meets in one task or, if it has more than
+``BLOCK`` hashes, is cut into blocks of which any two meet in one task (so a task's memory is bounded, and a component of k
+blocks is sent k - 1 times). A task finds the pairs at or above the limit by prefix filtering on the component's rarest hashes, tables of Hamming distances from SimHash
 fingerprints to pivots (pairs whose greatest coordinate difference exceeds the bound go, as do pairs beyond it), and exact
-counts of what survives, and joins their groups; sets already in a group are not held against one another. The bound on
+counts of what survives, and joins their groups; sets already in a group of that task are not held against one another. The bound on
 the fingerprints lies eight standard deviations beyond the distance of the least similar near copies, so that what it
 loses (below one pair in 10**14) is left out of account.
 
@@ -27,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import staged
+from quillon.llm.common import discard, staged
 from quillon.llm.graph import components
 from quillon.llm.textbatch import as_bytes, freed, slices, spread
 
 SEED, GRAM = 42, 3
 WIDTH, PIVOTS = 4, 16  # words of a fingerprint, reference fingerprints of a component
+BLOCK = 1 << 20  # hashes of sets in a block of a component
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -56,7 +58,7 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Record
         node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in found], np.uint64).view(np.int64)
         offsets = np.cumsum([0, *map(len, found)]).astype(np.int32)
         sets = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-        yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), piece.column(2), pa.array(node), sets], names=["doc_id", "text_hash", "node", "shingles"])
+        yield pa.RecordBatch.from_arrays([piece.column(0).cast(pa.int64()), piece.column(2), pa.array(node), pa.array(np.diff(offsets).astype(np.int64)), sets], names=["doc_id", "text_hash", "node", "size", "shingles"])
 
 
 def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +196,7 @@ def grouped(values: np.ndarray, offsets: np.ndarray, least: Fraction) -> np.ndar
 
 
 def _groups(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[pa.RecordBatch]:
-    """Links (node, root) from the sets of each candidate component; rows (node, shingles, root) come sorted by root."""
+    """Links (node, root) from the sets that meet; rows (node, shingles, piece) come sorted by piece."""
 
     def ended(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         node = np.concatenate([b.column(0).to_numpy() for b in held])
@@ -207,9 +209,10 @@ def _groups(batches: Iterator[pa.RecordBatch], least: Fraction) -> Iterator[pa.R
     held: list[pa.RecordBatch] = []
     for batch in batches:
         node = batch.column(0).to_numpy()
-        batch = batch.take(pa.array(np.flatnonzero(np.r_[True, node[1:] != node[:-1]])))  # equal sets of many rows once
-        root = batch.column(2).to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(root)) + 1).tolist(), len(root)]
+        piece = batch.column(2).to_numpy()
+        batch = batch.take(pa.array(np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (piece[1:] != piece[:-1])])))  # equal sets of many rows once
+        piece = batch.column(2).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(piece)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 if held and held[-1].column(2)[0] != batch.column(2)[a]:
@@ -226,9 +229,25 @@ def near_copies(docs: DataFrame, shingle: int, similarity: float, id_col: str =
     if not Fraction(GRAM - 1, GRAM) < least <= 1:
         raise ValueError(f"similarity {similarity}: grams of {GRAM} find all pairs only above {GRAM - 1}/{GRAM}")
     texts = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), F.xxhash64(docs[text_col]).alias("text_hash"))  # read three times: sets take more room than texts
-    rows = staged(texts.mapInArrow(lambda it: freed(b.select(["doc_id", "text_hash", "node"]) for b in _sets(it, shingle)), "doc_id long, text_hash long, node long"), "set-nodes")
+    rows = staged(texts.mapInArrow(lambda it: freed(b.select(["doc_id", "text_hash", "node", "size"]) for b in _sets(it, shingle)), "doc_id long, text_hash long, node long, size long"), "set-nodes")
     grams = texts.mapInArrow(lambda it: freed(_signatures(_sets(it, shingle), least)), "gram long, node long").repartition("gram").sortWithinPartitions("gram", "node")
-    chained = components(grams.mapInArrow(lambda it: freed(_chains(it)), "a long, b long"))
+    chained = blocked(components(grams.mapInArrow(lambda it: freed(_chains(it)), "a long, b long")), rows)
     sets = texts.mapInArrow(lambda it: freed(b.select(["node", "shingles"]) for b in _sets(it, shingle)), "node long, shingles array<long>")
-    met = sets.join(chained.hint("shuffle_hash"), "node").select("node", "shingles", "root").repartition("root").sortWithinPartitions("root", "node")
-    return rows, staged(met.mapInArrow(lambda it: freed(_groups(it, least)), "node long, root long"), "near-copies")
+    met = sets.join(chained.hint("shuffle_hash"), "node").select("node", "shingles", F.explode("pieces").alias("piece"))
+    met = met.repartition("piece").sortWithinPartitions("piece", "node")
+    links = staged(met.mapInArrow(lambda it: freed(_groups(it, least)), "node long, root long"), "near-copies")
+    if not chained.where(F.size("pieces") > 1).isEmpty():  # groups of several tasks are to be joined
+        links = components(links.withColumnsRenamed({"node": "a", "root": "b"}))
+    return rows.drop("size"), links
+
+
+def blocked(chained: DataFrame, rows: DataFrame) -> DataFrame:
+    """node and the pieces of its component in which it meets others: one, or one for each other block of the component."""
+    size = rows.groupBy("node").agg(F.max("size").alias("size"))
+    chained = staged(chained.join(size, "node"), "chains")
+    large = chained.groupBy("root").agg(F.ceil(F.sum("size") / BLOCK).alias("blocks")).where(F.col("blocks") > 2)
+    block, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    pieces = F.transform(F.filter(other, lambda x: x != block), lambda x: F.xxhash64("root", F.least(x, block), F.greatest(x, block)))
+    out = staged(chained.join(large, "root", "left").select("node", F.when(F.col("blocks").isNull(), F.array("root")).otherwise(pieces).alias("pieces")), "set-pieces")
+    discard(chained)
+    return out

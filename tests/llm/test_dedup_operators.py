@@ -113,7 +113,11 @@ def shingles_of(text):
     return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def test_one_of_each_against_brute_force(spark):
+@pytest.mark.parametrize("block", [None, 1500])
+def test_one_of_each_against_brute_force(spark, monkeypatch, block):
+    from quillon.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "BLOCK", block or near_copies.BLOCK)  # components of several blocks
     rng = random.Random(8)
     base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(n)) for n in (6, 12, 40, 150, 400)]
     pairs = []
