@@ -1,6 +1,7 @@
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -296,6 +297,21 @@ def test_quantiles(spark):
     assert ranking.quantiles(df.limit(0), "g", "x", levels).count() == 0
 
 
+def test_quantiles_to_the_last_bit(spark):
+    """Bins are closed at their edges, so an edge between equal scores must be that score."""
+    values = [round(0.4 + (i * 7919 % 401) / 1000, 3) for i in range(2000)]
+    levels = [i / 15 for i in range(16)]
+    df = spark.createDataFrame([("all", x) for x in values], "g string, x double")
+    got = ranking.quantiles(df, "g", "x", levels).first().q
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (x double)")
+    con.execute(f"INSERT INTO t SELECT unnest({values!r}::double[])")
+    assert got == con.execute("SELECT quantile_cont(x, [" + ", ".join(f"{i}::double / 15" for i in range(16)) + "]) FROM t").fetchall()[0][0]
+    ordered, at = sorted(values), [(len(values) - 1) * q for q in levels]
+    inside = [(q, ordered[int(p)]) for p, q in zip(at, got, strict=True) if ordered[int(p)] == ordered[min(int(p) + 1, len(values) - 1)]]
+    assert len(inside) > 5 and all(q == x for q, x in inside)
+
+
 def test_percentiles_without_labels_or_scores(spark):
     df = spark.createDataFrame([("a", None, 0.5), (None, 1, 0.25), ("a", 1, float("nan")), ("a", 1, None)], "domain string, label int, score double")
     got = {(r.domain, r.label): (r.n, r.median, r.p99) for r in metrics.percentile_table(df).collect()}
