@@ -336,3 +336,12 @@ def test_percentiles_without_labels_or_scores(spark):
     assert got == {(None, None): (1, 0.5, 0.5), ("a", None): (1, 0.5, 0.5), (None, 1): (1, 0.25, 0.25), ("unknown", 1): (1, 0.25, 0.25)}
     assert metrics.benchmark_aggregate(df.limit(0), ["score"]).collect() == [(0, None, None)]
     assert metrics.reliability(df.limit(0)).count() == 0 and neighbors.quantile_pruned(df.limit(0), 0.1).count() == 0
+
+
+def test_style_similarity_mean_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "SIDE_BYTES", 8 * 5 * 7)
+    df, cos = sided(spark)
+    found = neighbors.style_similarity(df)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().toString()
+    assert {r.pair_id: (r.sim, r.n) for r in found.collect()} == {p: (pytest.approx(c.mean(), abs=1e-9), c.size) for p, c in cos.items()}
+    assert neighbors.style_similarity(df.where("side = 1")).count() == 0
