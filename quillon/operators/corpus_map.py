@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 from pyspark.ml.clustering import KMeans
@@ -13,7 +14,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import vectors as V
 from quillon.operators import neighbors as N
+from quillon.sources.staging import staged
 
+AT_ONCE = 5  # k-means runs
 Layout = Callable[[DataFrame, int], DataFrame]
 
 
@@ -69,9 +72,11 @@ def without_top_components(items: DataFrame, k: int) -> DataFrame:
 
 
 def clusters(items: DataFrame, k: int = 12, starts: int = 10) -> DataFrame:
-    """id, cluster: the best of several k-means runs."""
+    """id, cluster: the best of several k-means runs, some of them at a time: each is a row of short jobs."""
     rows = items.select("id", array_to_vector(V.doubles(F.col("vec"))).alias("features")).cache()
-    models = [KMeans(k=k, seed=s, maxIter=50).fit(rows) for s in range(starts)]
+    rows.count()
+    with ThreadPool(AT_ONCE) as pool:
+        models = pool.map(lambda s: KMeans(k=k, seed=s, maxIter=50).fit(rows), range(starts))
     best = min(models, key=lambda m: m.summary.trainingCost)
     out = best.transform(rows).select("id", F.col("prediction").alias("cluster"))
     rows.unpersist()
@@ -94,9 +99,12 @@ def sweep(items: DataFrame, grid: Iterable[dict], make: Callable[[DataFrame, dic
 
 
 def style_map(items: DataFrame, method: str = "pca", dimensions: int = 2, prune: float = 0.0, remove: int = 0, k: int = 12) -> DataFrame:
-    """id, x, y[, z], cluster: pruned, cleared of leading components, laid out and clustered."""
-    rows = pruned(items, prune) if prune else items
-    rows = without_top_components(rows, remove) if remove else rows
+    """id, x, y[, z], cluster: pruned, cleared of leading components, laid out and clustered.
+
+    What the fits read again and again is written once: the search for outliers is quadratic.
+    """
+    rows = staged(pruned(items, prune), "map-pruned") if prune else items
+    rows = staged(without_top_components(rows, remove), "map-cleared") if remove else rows
     placed = layout(rows, method, dimensions)
     axes = [F.col("xy")[i].alias(a) for i, a in enumerate("xyz"[:dimensions])]
     return placed.select("id", *axes).join(clusters(rows, k), "id")

@@ -398,3 +398,19 @@ def test_ranks_by_blocks(spark, monkeypatch):
     for size in (64 << 20, 8 * 3 * 25):
         monkeypatch.setattr(neighbors, "BLOCK_BYTES", size)
         assert {(r.id, r.neighbor_id): r["rank"] for r in neighbors.ranks_of(df, pairs).collect()} == expected
+
+
+def test_style_map_searches_outliers_once(spark, monkeypatch):
+    plain = neighbors._best
+    counted = spark.sparkContext.accumulator(0)
+
+    def best(*args):
+        counted.add(1)
+        yield from plain(*args)
+
+    monkeypatch.setattr(neighbors, "_best", best)
+    x = np.random.default_rng(8).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    found = corpus_map.style_map(df, prune=0.05, remove=1, k=3)
+    assert found.count() == 57 and {r.cluster for r in found.collect()} == {0, 1, 2}
+    assert counted.value == 1
