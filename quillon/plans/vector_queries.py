@@ -131,7 +131,7 @@ def sides(spark, sf_dir):
 
 @query(f"WITH {Q.VECS}, {UNITS}, {SIDES} SELECT pair_id::bigint AS pair_id, round(avg(cos), 5) AS sim, count(*) AS n FROM cs GROUP BY pair_id")
 def style_similarity_mean(spark, sf_dir):
-    return N.style_similarity(sides(spark, sf_dir)).withColumn("sim", F.round("sim", 5))
+    return N.style_similarity(sides(spark, sf_dir), digits=5)
 
 
 @query(f"WITH {Q.VECS}, {UNITS}, {SIDES} SELECT pair_id::bigint AS pair_id, round(avg(cos), 5) AS sim, count(*) AS n FROM (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY pair_id ORDER BY cos DESC, i, j) <= 5) GROUP BY pair_id")

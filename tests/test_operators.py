@@ -347,6 +347,23 @@ def test_style_similarity_mean_by_blocks(spark, monkeypatch):
     assert neighbors.style_similarity(df.where("side = 1")).count() == 0
 
 
+def test_style_similarity_rounded_meets_only_unclear_pairs(spark, monkeypatch):
+    """Where the mean vectors settle the rounded mean no chunks meet; near a turn of the rounding the rounded cosines decide."""
+    df, cos = sided(spark)
+    met = []
+    blocks = neighbors.block_pairs
+    monkeypatch.setattr(neighbors, "block_pairs", lambda rows, *a: met.append({r.pair_id for r in rows.collect()}) or blocks(rows, *a))
+    got = {r.pair_id: (r.sim, r.n) for r in neighbors.style_similarity(df, digits=3).collect()}
+    assert got == {p: (round(float(c.mean()), 3), c.size) for p, c in cos.items()} and not met
+    c = 0.0249996  # rounds to 0.025, so the mean of both is 0.0125, which is 0.013; that of the cosines is below
+    turn = [("p0", 1, 0, [1.0, 0.0]), ("p0", 2, 1, [c, (1 - c * c) ** 0.5]), ("p0", 2, 2, [0.0, 1.0]), ("sure", 1, 3, [1.0, 0.0]), ("sure", 2, 4, [0.6, 0.8]), ("sure", 2, 5, [0.6, 0.8])]
+    rows = spark.createDataFrame(turn, "pair_id string, side int, idx int, vec array<double>")
+    got = {r.pair_id: (r.sim, r.n) for r in neighbors.style_similarity(rows, digits=3).collect()}
+    assert got == {"p0": (0.013, 2), "sure": (0.6, 2)} and met == [{"p0"}]
+    odd = spark.createDataFrame([("p", 1, 0, [float("nan"), 1.0]), ("p", 2, 1, [1.0, 0.0])], "pair_id string, side int, idx int, vec array<double>")
+    assert neighbors.style_similarity(odd, digits=3).first() == neighbors.style_similarity(odd).first()
+
+
 def test_kernel_dependence_by_blocks(spark, monkeypatch):
     """Copies, one very common vector and several blocks; no row for each pair."""
     rng = np.random.default_rng(4)
