@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import text as T
 from quillon.operators.ranking import ordered_place, ranked
+from quillon.sources.staging import merged, staged
 
 KINDS = ("author_same", "embed_neighbor", "random")
 
@@ -60,26 +61,35 @@ def kind_weights(has_author: Column, has_neighbor: Column, random_share: float =
     ]
 
 
+def _near_books(edges: DataFrame, books: DataFrame) -> DataFrame:
+    """book_id, neighbor_id, n2 (the neighbour's chunks), at_near (from 0), n_near: the edges within a split, placed by neighbour."""
+    ends = books.select(F.col("book_id").alias("neighbor_id"), "split", F.col("n").alias("n2"))
+    near = edges.select("book_id", "neighbor_id").where("book_id <> neighbor_id").join(merged(books.select("book_id", "split")), "book_id").join(merged(ends), ["neighbor_id", "split"])
+    around = Window.partitionBy("book_id")
+    return near.select("book_id", "neighbor_id", "n2", (F.row_number().over(around.orderBy("neighbor_id")) - 1).alias("at_near"), F.count("*").over(around).alias("n_near"))
+
+
 def negatives(chunks: DataFrame, edges: DataFrame | None = None, per_book: int = 40, random_share: float = 0.10) -> DataFrame:
     """Chunks of two books of one split: a kind by weight, a partner book by index, a chunk of each by hash.
 
     ``edges`` (book_id, neighbor_id): neighbours, counted only within the split. Anonymous authors have no
     ``author_same`` partners. A book without any partner gives no rows.
+
+    The tables of books, of their neighbours and of what is drawn from are written once, so that no plan holds ``chunks``
+    more than for both sides' texts. They grow with the input, so none of them is broadcast.
     """
-    books = chunks.where(F.col("pos") == 0).select("book_id", "author", "split", "n")
+    books = staged(chunks.where(F.col("pos") == 0).select("book_id", "author", "split", "n"), "books")
     by_split = ordered_place(books, "split", "book_id", "at").withColumnRenamed("_n", "n_split")
     named = books.where(~T.is_anonymous(F.col("author")))
-    placed = ordered_place(named.select("author", "split", "book_id", F.struct("author", "split").alias("_owner")), "_owner", "book_id", "at_author")
-    by_author = placed.select("author", "split", "book_id", "at_author", F.col("_n").alias("n_author"))
+    placed = ordered_place(named.select("author", "split", "book_id", "n", F.struct("author", "split").alias("_owner")), "_owner", "book_id", "at_author")
+    by_author = placed.select("author", "split", "book_id", "n", "at_author", F.col("_n").alias("n_author"))
+    rows = by_split.where((F.col("n") >= 2) & (F.col("n_split") > 1)).join(merged(by_author.select("book_id", "at_author", "n_author")), "book_id", "left")
     if edges is None:
-        edges = chunks.sparkSession.createDataFrame([], "book_id string, neighbor_id string")
-    ends = books.select(F.col("book_id").alias("neighbor_id"), "split")
-    near = edges.select("book_id", "neighbor_id").where("book_id <> neighbor_id").join(books.select("book_id", "split"), "book_id").join(ends, ["neighbor_id", "split"])
-    around = Window.partitionBy("book_id")
-    near = near.select("book_id", "neighbor_id", (F.row_number().over(around.orderBy("neighbor_id")) - 1).alias("at_near"), F.count("*").over(around).alias("n_near"))
-
-    rows = by_split.where(F.col("n") >= 2).join(by_author.select("book_id", "at_author", "n_author"), "book_id", "left")
-    rows = rows.join(near.where("at_near = 0").select("book_id", "n_near"), "book_id", "left").where("n_split > 1")
+        rows = rows.withColumn("n_near", F.lit(0).cast("bigint"))
+    else:
+        near = staged(_near_books(edges, books), "near-books")
+        rows = rows.join(merged(near.where("at_near = 0").select("book_id", "n_near")), "book_id", "left")
+    rows = staged(rows, "drawing-books")
     weights = kind_weights(F.coalesce(F.col("n_author") > 1, F.lit(False)), F.coalesce(F.col("n_near") > 0, F.lit(False)), random_share)
     drawn = _draws(rows, per_book).withColumn("_u", T.hash32(F.lit("kind"), "book_id", "k") / F.lit(4294967296.0))
     drawn = drawn.withColumn("neg_type", F.when(F.col("_u") < weights[0], KINDS[0]).when(F.col("_u") < weights[0] + weights[1], KINDS[1]).otherwise(KINDS[2]))
@@ -90,17 +100,17 @@ def negatives(chunks: DataFrame, edges: DataFrame | None = None, per_book: int =
         draw = F.pmod(pick, F.col(n) - 1)
         return F.when(draw < F.col(at), draw).otherwise(draw + 1)
 
-    keep = ["book_id", "split", "n", "k", "neg_type"]
+    keep, book2 = ["book_id", "split", "n", "k", "neg_type", "book2", "n2"], [F.col("book_id").alias("book2"), F.col("n").alias("n2")]
     partners = [
-        drawn.where("neg_type = 'author_same'").withColumn("_at", other("n_author", "at_author")).join(by_author.select("author", "split", F.col("at_author").alias("_at"), F.col("book_id").alias("book2")), ["author", "split", "_at"]).select(*keep, "book2"),
-        drawn.where("neg_type = 'embed_neighbor'").withColumn("_at", F.pmod(pick, F.col("n_near"))).join(near.select("book_id", F.col("at_near").alias("_at"), F.col("neighbor_id").alias("book2")), ["book_id", "_at"]).select(*keep, "book2"),
-        drawn.where("neg_type = 'random'").withColumn("_at", other("n_split", "at")).join(by_split.select("split", F.col("at").alias("_at"), F.col("book_id").alias("book2")), ["split", "_at"]).select(*keep, "book2"),
+        drawn.where("neg_type = 'author_same'").withColumn("_at", other("n_author", "at_author")).join(merged(by_author.select("author", "split", F.col("at_author").alias("_at"), *book2)), ["author", "split", "_at"]).select(*keep),
+        drawn.where("neg_type = 'random'").withColumn("_at", other("n_split", "at")).join(merged(by_split.select("split", F.col("at").alias("_at"), *book2)), ["split", "_at"]).select(*keep),
     ]
+    if edges is not None:
+        partners.append(drawn.where("neg_type = 'embed_neighbor'").withColumn("_at", F.pmod(pick, F.col("n_near"))).join(merged(near.select("book_id", F.col("at_near").alias("_at"), F.col("neighbor_id").alias("book2"), "n2")), ["book_id", "_at"]).select(*keep))
     chosen = reduce(DataFrame.unionByName, partners).withColumnRenamed("book_id", "book1")
-    chosen = chosen.join(books.select(F.col("book_id").alias("book2"), F.col("n").alias("n2")), "book2")
     chosen = chosen.withColumn("pos1", F.pmod(T.hash32(F.lit("neg1"), "book1", "k"), F.col("n").cast("bigint")).cast("int"))
     chosen = chosen.withColumn("pos2", F.pmod(T.hash32(F.lit("neg2"), "book1", "k"), F.col("n2").cast("bigint")).cast("int"))
-    joined = chosen.join(_side(chunks, 1), ["book1", "pos1"]).join(_side(chunks, 2), ["book2", "pos2"])
+    joined = chosen.join(merged(_side(chunks, 1)), ["book1", "pos1"]).join(merged(_side(chunks, 2)), ["book2", "pos2"])
     return described(joined.drop("n", "n2").withColumn("label", F.lit(0)).withColumn("pair_type", F.lit("negative")))
 
 

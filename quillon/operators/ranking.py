@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.sources.staging import staged
+from quillon.sources.staging import merged, staged
 
 DIGITS = 3
 
@@ -35,7 +35,7 @@ def ordered_place(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
     own = Window.partitionBy(by)
     before = F.coalesce(F.sum("_rows").over(own.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = counts.select(by, "_part", (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(own).alias("_n"))
-    return placed.join(counts, [by, "_part"]).withColumn(name, F.col("_pos") + F.col("_shift")).drop("_part", "_pos", "_shift")
+    return placed.join(merged(counts), [by, "_part"]).withColumn(name, F.col("_pos") + F.col("_shift")).drop("_part", "_pos", "_shift")
 
 
 def quantiles(df: DataFrame, by: str, value: str, levels: list[float]) -> DataFrame:
