@@ -364,6 +364,24 @@ def test_style_similarity_rounded_meets_only_unclear_pairs(spark, monkeypatch):
     assert neighbors.style_similarity(odd, digits=3).first() == neighbors.style_similarity(odd).first()
 
 
+def test_negatives_read_chunks_for_both_sides_only(spark):
+    """Books, neighbours and draws are tables of their own; the driver's plan does not repeat the chunks for each use of them."""
+    rows = [(f"b{i:02d}", f"a{i % 3}", "train", p, 3, f"text {i} {p}", 0) for i in range(12) for p in range(3)]
+    chunks = spark.createDataFrame(rows, "book_id string, author string, split string, pos int, n int, chunk string, topic int").repartition(3, "book_id")
+    edges = spark.createDataFrame([(f"b{i:02d}", f"b{(i + j) % 12:02d}") for i in range(12) for j in (0, 1, 5)], "book_id string, neighbor_id string")
+    found = pairs.negatives(chunks, edges, per_book=10)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 2
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    got = found.collect()
+    assert len(got) == 120 and len({(r.book1, r.k) for r in got}) == 120
+    near = {(f"b{i:02d}", f"b{(i + j) % 12:02d}") for i in range(12) for j in (1, 5)}
+    kinds = {k: [(r.book1, r.book2) for r in got if r.neg_type == k] for k in pairs.KINDS}
+    assert all(kinds.values()) and set(kinds["embed_neighbor"]) <= near and all(a != b for k in kinds.values() for a, b in k)
+    assert all(int(a[1:]) % 3 == int(b[1:]) % 3 for a, b in kinds["author_same"])
+    assert all(r.text1 == f"text {int(r.book1[1:])} {r.pos1}" and r.text2 == f"text {int(r.book2[1:])} {r.pos2}" for r in got)
+
+
 def test_kernel_dependence_by_blocks(spark, monkeypatch):
     """Copies, one very common vector and several blocks; no row for each pair."""
     rng = np.random.default_rng(4)
