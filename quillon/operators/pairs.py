@@ -69,16 +69,15 @@ def _near_books(edges: DataFrame, books: DataFrame) -> DataFrame:
     return near.select("book_id", "neighbor_id", "n2", (F.row_number().over(around.orderBy("neighbor_id")) - 1).alias("at_near"), F.count("*").over(around).alias("n_near"))
 
 
-def negatives(chunks: DataFrame, edges: DataFrame | None = None, per_book: int = 40, random_share: float = 0.10) -> DataFrame:
-    """Chunks of two books of one split: a kind by weight, a partner book by index, a chunk of each by hash.
+def drawn_negatives(books: DataFrame, edges: DataFrame | None = None, per_book: int = 40, random_share: float = 0.10) -> DataFrame:
+    """book1, pos1, book2, pos2, split, k, neg_type: a kind by weight, a partner book of the split by index, a chunk of each by hash.
 
+    books: book_id, author, split, n (chunks) of every book with a chunk, best as a written table: it is read for each use.
     ``edges`` (book_id, neighbor_id): neighbours, counted only within the split. Anonymous authors have no
-    ``author_same`` partners. A book without any partner gives no rows.
+    ``author_same`` partners. A book without any partner gives no rows. No chunk is read.
 
-    The tables of books, of their neighbours and of what is drawn from are written once, so that no plan holds ``chunks``
-    more than for both sides' texts. They grow with the input, so none of them is broadcast.
+    The tables of neighbours and of what is drawn from are written once. They grow with the input, so none of them is broadcast.
     """
-    books = staged(chunks.where(F.col("pos") == 0).select("book_id", "author", "split", "n"), "books")
     by_split = ordered_place(books, "split", "book_id", "at").withColumnRenamed("_n", "n_split")
     named = books.where(~T.is_anonymous(F.col("author")))
     placed = ordered_place(named.select("author", "split", "book_id", "n", F.struct("author", "split").alias("_owner")), "_owner", "book_id", "at_author")
@@ -110,8 +109,18 @@ def negatives(chunks: DataFrame, edges: DataFrame | None = None, per_book: int =
     chosen = reduce(DataFrame.unionByName, partners).withColumnRenamed("book_id", "book1")
     chosen = chosen.withColumn("pos1", F.pmod(T.hash32(F.lit("neg1"), "book1", "k"), F.col("n").cast("bigint")).cast("int"))
     chosen = chosen.withColumn("pos2", F.pmod(T.hash32(F.lit("neg2"), "book1", "k"), F.col("n2").cast("bigint")).cast("int"))
+    return chosen.select("book1", "pos1", "book2", "pos2", "split", "k", "neg_type")
+
+
+def negatives(chunks: DataFrame, edges: DataFrame | None = None, per_book: int = 40, random_share: float = 0.10) -> DataFrame:
+    """Chunks of two books of one split, as ``drawn_negatives`` draws them from the books of ``chunks`` (positioned, with split).
+
+    Books are written once, so that no plan holds ``chunks`` more than for both sides' texts.
+    """
+    books = staged(chunks.where(F.col("pos") == 0).select("book_id", "author", "split", "n"), "books")
+    chosen = drawn_negatives(books, edges, per_book, random_share)
     joined = chosen.join(merged(_side(chunks, 1)), ["book1", "pos1"]).join(merged(_side(chunks, 2)), ["book2", "pos2"])
-    return described(joined.drop("n", "n2").withColumn("label", F.lit(0)).withColumn("pair_type", F.lit("negative")))
+    return described(joined.withColumn("label", F.lit(0)).withColumn("pair_type", F.lit("negative")))
 
 
 def mined(candidates: DataFrame, most_probability: float = 0.20, least_similarity: float = 0.55, per_book: int = 20, in_all: int | None = None) -> DataFrame:

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import calibration, catalog, chunks, corpus_map, metrics, neighbors, pairs, ranking, scoring
-from quillon.sources import files, sinks
+from quillon.plans import pair_queries
+from quillon.sources import files, sinks, staging
 from quillon.streaming import ingest
 
 
@@ -382,6 +383,17 @@ def test_negatives_read_chunks_for_both_sides_only(spark):
     assert all(r.text1 == f"text {int(r.book1[1:])} {r.pos1}" and r.text2 == f"text {int(r.book2[1:])} {r.pos2}" for r in got)
 
 
+def test_neg_type_hist_keeps_no_text(spark, tmp_path, monkeypatch):
+    """Kinds are counted where they are drawn: no chunk's text is written, and both sides' chunks are not joined."""
+    monkeypatch.setattr(staging, "shared_dir", lambda _: f"file://{tmp_path}")
+    found = pair_queries.neg_type_hist(spark, "/root/testdata/sf0.001")
+    assert found.agg(F.sum("n")).first()[0] > 0
+    written = {p.name.rsplit("-", 1)[0]: set(spark.read.parquet(str(p)).columns) for p in (tmp_path / "quillon").iterdir()}
+    assert {"books", "near-books", "drawing-books"} <= set(written)
+    assert not set.union(*written.values()) & {"chunk", "text", "topic"}
+    assert "pos1" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_kernel_dependence_by_blocks(spark, monkeypatch):
     """Copies, one very common vector and several blocks; no row for each pair."""
     rng = np.random.default_rng(4)
