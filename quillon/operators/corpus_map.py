@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from quillon.operators import neighbors as N
 from quillon.sources.staging import staged
 
 AT_ONCE = 5  # k-means runs
+MOST_ROUNDS = 10_000  # of a k-means run; one that has not come to rest by then is an error, never a result
+REST = 1e-4  # of the mean variance: where the squared moves of all centres of a run sum up to no more, it has come to rest
 Layout = Callable[[DataFrame, int], DataFrame]
 
 
@@ -34,13 +37,14 @@ def components(items: DataFrame, k: int) -> np.ndarray:
 
 
 def pca_layout(items: DataFrame, k: int = 2) -> DataFrame:
-    """id, xy: centred principal component scores; signs are arbitrary. Needs two rows at least."""
+    """id, xy: centred principal component scores; a direction's greatest component is positive. Needs two rows at least."""
     rows = centred(items)
     if rows.limit(2).count() < 2:
         raise ValueError("a layout needs two vectors at least")
     model = PCA(k=k, inputCol="features", outputCol="scores").fit(rows.select("id", array_to_vector("vec").alias("features")))
-    scores = model.transform(rows.select("id", array_to_vector("vec").alias("features")))
-    return scores.select("id", vector_to_array("scores").alias("xy"))
+    scores = model.transform(rows.select("id", array_to_vector("vec").alias("features"))).select("id", vector_to_array("scores").alias("xy"))
+    signs = [-1.0 if column[np.abs(column).argmax()] < 0 else 1.0 for column in model.pc.toArray().T]
+    return scores.select("id", F.array(*[F.col("xy")[i] * F.lit(x) for i, x in enumerate(signs)]).alias("xy"))
 
 
 LAYOUTS: dict[str, Layout] = {"pca": pca_layout}
@@ -72,11 +76,18 @@ def without_top_components(items: DataFrame, k: int) -> DataFrame:
 
 
 def clusters(items: DataFrame, k: int = 12, starts: int = 10) -> DataFrame:
-    """id, cluster: the best of several k-means runs, some of them at a time: each is a row of short jobs."""
+    """id, cluster: the best of several k-means runs, some of them at a time: each is a row of short jobs.
+
+    Every run goes on until its centres rest, by a limit that follows the vectors' scale.
+    """
     rows = items.select("id", array_to_vector(V.doubles(F.col("vec"))).alias("features")).cache()
-    rows.count()
+    found = rows.agg(Summarizer.metrics("variance", "mean").summary(F.col("features")).alias("s")).select("s.variance", "s.mean").first()
+    variance, mean = (v.toArray() for v in found)
+    rest = max(float(np.sqrt(REST * variance.mean() / k)), 1e-9 * float(np.linalg.norm(mean)))  # for each centre; not below rounding
     with ThreadPool(AT_ONCE) as pool:
-        models = pool.map(lambda s: KMeans(k=k, seed=s, maxIter=50).fit(rows), range(starts))
+        models = pool.map(lambda s: KMeans(k=k, seed=s, maxIter=MOST_ROUNDS, tol=rest).fit(rows), range(starts))
+    if any(m.summary.numIter >= MOST_ROUNDS for m in models):
+        raise RuntimeError(f"a k-means run had not come to rest after {MOST_ROUNDS} rounds")
     best = min(models, key=lambda m: m.summary.trainingCost)
     out = best.transform(rows).select("id", F.col("prediction").alias("cluster"))
     rows.unpersist()
@@ -99,12 +110,12 @@ def sweep(items: DataFrame, grid: Iterable[dict], make: Callable[[DataFrame, dic
 
 
 def style_map(items: DataFrame, method: str = "pca", dimensions: int = 2, prune: float = 0.0, remove: int = 0, k: int = 12) -> DataFrame:
-    """id, x, y[, z], cluster: pruned, cleared of leading components, laid out and clustered.
+    """id, x, y[, z], cluster: cleared of leading components, pruned (by what is left), laid out and clustered.
 
     What the fits read again and again is written once: the search for outliers is quadratic.
     """
-    rows = staged(pruned(items, prune), "map-pruned") if prune else items
-    rows = staged(without_top_components(rows, remove), "map-cleared") if remove else rows
+    rows = staged(without_top_components(items, remove), "map-cleared") if remove else items
+    rows = staged(pruned(rows, prune), "map-pruned") if prune else rows
     placed = layout(rows, method, dimensions)
     axes = [F.col("xy")[i].alias(a) for i, a in enumerate("xyz"[:dimensions])]
     return placed.select("id", *axes).join(clusters(rows, k), "id")

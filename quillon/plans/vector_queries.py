@@ -199,4 +199,8 @@ def kmeans(spark, sf_dir):
 
 @query()
 def style_map(spark, sf_dir):
-    return Z.style_map(vectors(spark, sf_dir).select("id", "vec"), prune=0.05, remove=1, k=6).select("id", "cluster")
+    """A row a vector: the map in three dimensions (its x, y are the map in two); outliers have no place and no cluster."""
+    items = vectors(spark, sf_dir).select("id", "vec")
+    placed = Z.style_map(items, dimensions=3, prune=0.05, remove=1, k=6)
+    axes = [F.round(F.col(a), 4).alias(a) for a in "xyz"]
+    return items.select("id").join(placed, "id", "left").select("id", *axes, "cluster", F.col("cluster").isNotNull().alias("kept"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators import calibration, catalog, chunks, corpus_map, metrics, neighbors, pairs, ranking, scoring
-from quillon.plans import pair_queries
+from quillon.plans import pair_queries, vector_queries
 from quillon.sources import files, sinks, staging
 from quillon.streaming import ingest
 
@@ -461,3 +461,54 @@ def test_style_map_searches_outliers_once(spark, monkeypatch):
     found = corpus_map.style_map(df, prune=0.05, remove=1, k=3)
     assert found.count() == 57 and {r.cluster for r in found.collect()} == {0, 1, 2}
     assert counted.value == 1
+
+
+def test_style_map_clears_then_prunes(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(80, 5)) * 0.3
+    x[:, 0] += np.where(np.arange(80) % 2 == 0, 9, -9)  # hides what lies apart in the others
+    x[::20, 1] += 4 * rng.normal(size=4)
+    c = x - x.mean(0)
+    first = np.linalg.svd(c, full_matrices=False)[2][:1]
+    left = c - c @ first.T @ first
+    u = left / np.linalg.norm(left, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 6)
+    np.fill_diagonal(sims, -np.inf)
+    scores = (1 - np.sort(sims, axis=1)[:, -10:]).mean(1)
+    kept = np.flatnonzero(scores <= np.quantile(scores, 0.9))
+    rest = left[kept] - left[kept].mean(0)
+    axes = np.linalg.svd(rest, full_matrices=False)[2][:3]
+    axes *= np.sign(axes[np.arange(3), np.abs(axes).argmax(1)])[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    found = {r.id: (r.x, r.y, r.z) for r in corpus_map.style_map(df, dimensions=3, prune=0.1, remove=1, k=3).collect()}
+    assert sorted(found) == kept.tolist()
+    assert np.array([found[i] for i in kept]) == pytest.approx(rest @ axes.T, abs=1e-6)
+
+
+def test_clusters_come_to_rest(spark, monkeypatch):
+    plain, fits = corpus_map.KMeans.fit, []
+
+    def fit(self, rows):
+        model = plain(self, rows)
+        fits.append((model.summary.numIter, self.getMaxIter()))
+        return model
+
+    monkeypatch.setattr(corpus_map.KMeans, "fit", fit)
+    x = np.random.default_rng(10).normal(size=(4000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    assert corpus_map.clusters(df, 6, starts=4).count() == 4000
+    assert max(n for n, _ in fits) > 50 and all(n < most for n, most in fits)
+    monkeypatch.setattr(corpus_map, "MOST_ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        corpus_map.clusters(df, 6, starts=2)
+    same = spark.createDataFrame([(i, [0.1, 0.7]) for i in range(30)], "id long, vec array<double>")
+    assert corpus_map.clusters(same, 3, starts=2).select("cluster").distinct().count() == 1
+
+
+def test_style_map_query_has_a_row_a_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = vector_queries.style_map(spark, sf).collect()
+    assert sorted(r.id for r in rows) == sorted(r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect())
+    assert {r.cluster for r in rows if r.kept} == set(range(6)) and 0.94 <= sum(r.kept for r in rows) / len(rows) < 1
+    assert all((v is not None) == r.kept for r in rows for v in (r.x, r.y, r.z, r.cluster))
+    assert len({(r.x, r.y, r.z) for r in rows if r.kept}) > 10
