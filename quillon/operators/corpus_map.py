@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from multiprocessing.pool import ThreadPool
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-from pyspark.ml.clustering import KMeans
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -17,8 +16,7 @@ from quillon.functions import vectors as V
 from quillon.operators import neighbors as N
 from quillon.sources.staging import staged
 
-AT_ONCE = 5  # k-means runs
-MOST_ROUNDS = 10_000  # of a k-means run; one that has not come to rest by then is an error, never a result
+MOST_ROUNDS = 10_000  # of k-means runs; one that has not come to rest by then is an error, never a result
 REST = 1e-4  # of the mean variance: where the squared moves of all centres of a run sum up to no more, it has come to rest
 Layout = Callable[[DataFrame, int], DataFrame]
 
@@ -75,23 +73,101 @@ def without_top_components(items: DataFrame, k: int) -> DataFrame:
     return rows.select("id", left.alias("vec"))
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector's nearest centre of every run (runs x k x dimension), and its squared distance."""
+    runs, k, dims = centres.shape
+    flat = centres.reshape(-1, dims)
+    far = ((flat**2).sum(1) - 2 * x @ flat.T).reshape(-1, runs, k)
+    at = far.argmin(2)
+    return at, np.maximum(np.take_along_axis(far, at[:, :, None], 2)[:, :, 0] + (x**2).sum(1)[:, None], 0)
+
+
+def _numbers(n: int, names: tuple[str, ...], *values: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([v.reshape(-1).astype(np.float64)] * n, pa.list_(pa.float64())) for v in values], names=list(names))
+
+
+def _drawn(batches: Iterator[pa.RecordBatch], centres: np.ndarray, runs: int) -> Iterator[pa.RecordBatch]:
+    """A task's candidate for the next centre of every run: the greatest of keys that draw by squared distance, by hashes of ids."""
+    key, vec = np.full(runs, -np.inf), None
+    for batch in batches:
+        x = N._matrix(batch.column("vec"))
+        if not len(x):
+            continue
+        vec = np.zeros((runs, x.shape[1])) if vec is None else vec
+        far = _nearest(x, centres)[1] if centres.size else np.ones((len(x), runs))
+        salt = np.array([(1 + s + runs * centres.shape[1]) * 0x9E3779B97F4A7C15 % 2**64 for s in range(runs)], np.uint64)
+        h = batch.column("_h").to_numpy().astype(np.uint64)[:, None] ^ salt[None]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        even = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
+        with np.errstate(divide="ignore"):
+            own = np.log(far) - np.log(-np.log(even))
+        best = own.argmax(0)
+        for s in np.flatnonzero(own[best, np.arange(runs)] > key):
+            key[s], vec[s] = own[best[s], s], x[best[s]]
+    if vec is not None:
+        yield _numbers(1, ("key", "vec"), key, vec)
+
+
+def _summed(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A task's numbers and sums of vectors of every run's clusters, and the runs' costs."""
+    runs, k, dims = centres.shape
+    n, total, cost = np.zeros((runs, k)), np.zeros((runs, k, dims)), np.zeros(runs)
+    for batch in batches:
+        x = N._matrix(batch.column("vec"))
+        if not len(x):
+            continue
+        at, far = _nearest(x, centres)
+        cost += far.sum(0)
+        for s in range(runs):
+            own = (at[:, s, None] == np.arange(k)).astype(np.float64)
+            n[s] += own.sum(0)
+            total[s] += own.T @ x
+    yield _numbers(1, ("n", "total", "cost"), n, total, cost)
+
+
+def _labelled(batches: Iterator[pa.RecordBatch], centres: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x = N._matrix(batch.column("vec"))
+        at = _nearest(x, centres)[0][:, 0] if len(x) else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(at.astype(np.int32))], names=["id", "cluster"])
+
+
 def clusters(items: DataFrame, k: int = 12, starts: int = 10) -> DataFrame:
-    """id, cluster: the best of several k-means runs, some of them at a time: each is a row of short jobs.
+    """id, cluster: the best of several k-means runs, each from its own k-means++ draw and on until its centres rest.
 
-    Every run goes on until its centres rest, by a limit that follows the vectors' scale.
+    All runs share one job a round; a task passes on sums only. The limit of rest follows the vectors' scale.
     """
-    rows = items.select("id", array_to_vector(V.doubles(F.col("vec"))).alias("features")).cache()
-    found = rows.agg(Summarizer.metrics("variance", "mean").summary(F.col("features")).alias("s")).select("s.variance", "s.mean").first()
+    spark = items.sparkSession
+    rows = items.select("id", V.doubles(F.col("vec")).alias("vec"), F.xxhash64("id").alias("_h"))
+    kept = rows.coalesce(spark.sparkContext.defaultParallelism).cache()
+
+    def gathered(work: Callable, schema: str) -> list[np.ndarray]:
+        found = kept.mapInArrow(work, ", ".join(f"{c} array<double>" for c in schema.split())).toArrow()
+        return [np.array(found.column(c).to_pylist()) for c in schema.split()]
+
+    found = kept.agg(Summarizer.metrics("variance", "mean").summary(array_to_vector("vec")).alias("s")).select("s.variance", "s.mean").first()
     variance, mean = (v.toArray() for v in found)
-    rest = max(float(np.sqrt(REST * variance.mean() / k)), 1e-9 * float(np.linalg.norm(mean)))  # for each centre; not below rounding
-    with ThreadPool(AT_ONCE) as pool:
-        models = pool.map(lambda s: KMeans(k=k, seed=s, maxIter=MOST_ROUNDS, tol=rest).fit(rows), range(starts))
-    if any(m.summary.numIter >= MOST_ROUNDS for m in models):
-        raise RuntimeError(f"a k-means run had not come to rest after {MOST_ROUNDS} rounds")
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(rows).select("id", F.col("prediction").alias("cluster"))
-    rows.unpersist()
-    return out
+    rest = max(REST * float(variance.mean()), k * 1e-18 * float(mean @ mean))  # not below rounding
+    centres = np.zeros((starts, 0, len(mean)))
+    for _ in range(k):
+        key, vec = gathered(lambda it, c=centres: _drawn(it, c, starts), "key vec")
+        drawn = vec.reshape(len(vec), starts, -1)[key.argmax(0), np.arange(starts)]
+        drawn = drawn if not centres.size else np.where(np.isfinite(key.max(0))[:, None], drawn, centres[:, 0])  # none is left
+        centres = np.concatenate([centres, drawn[:, None]], 1)
+    moving, rounds = np.arange(starts), 0
+    while len(moving):
+        if rounds >= MOST_ROUNDS:
+            raise RuntimeError(f"{len(moving)} k-means runs had not come to rest after {rounds} rounds")
+        old = centres[moving]
+        n, total, _ = (v.sum(0) for v in gathered(lambda it, c=old: _summed(it, c), "n total cost"))
+        n = n.reshape(len(moving), k, 1)
+        centres[moving] = np.where(n > 0, total.reshape(old.shape) / np.maximum(n, 1), old)
+        moving, rounds = moving[((centres[moving] - old) ** 2).sum((1, 2)) > rest], rounds + 1
+    cost = gathered(lambda it: _summed(it, centres), "n total cost")[2].sum(0)
+    best = centres[[int(cost.argmin())]]
+    kept.unpersist()
+    return rows.select("id", "vec").mapInArrow(lambda it: _labelled(it, best), f"id {rows.schema['id'].dataType.simpleString()}, cluster int")
 
 
 def pruned(items: DataFrame, share: float = 0.05, k: int = 10) -> DataFrame:
